@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.knowledge import as_known
+from tidemark.operators.outlets import with_outlet
+from tidemark.operators.timestamps import normalise
 from tidemark.session import table
 
 
@@ -20,6 +22,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_known(req, attrs).select(F.col("event_id").alias("request_id"), F.col("attr_id").alias("obs_id"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, published_us): the UTC instant of every record whose published_at is a time."""
+    items = table(spark, sf_dir, "sample_news_items").select("item_id", "source", "source_url", "published_at")
+    return normalise(with_outlet(items, table(spark, sf_dir, "news_sources")), "item_id", "published_at", "_outlet", "_zone", "_order").select(F.col("id").alias("item_id"), F.col("utc_us").alias("published_us"))
+
+
 P6_SQL = """
 SELECT r.request_id, max_by(o.obs_id, struct_pack(a := o.date, b := o.realtime_start, c := coalesce(o.fetched_at, TIMESTAMP '0001-01-01'), d := o.obs_id)) AS obs_id
 FROM evaluation_requests r JOIN raw_observations o ON o.series_id = r.series_id AND o.date <= r.evaluation_date
@@ -28,5 +36,5 @@ WHERE o.value IS NOT NULL AND NOT isnan(o.value)
 GROUP BY r.request_id
 """
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
 SQL = {"p6_found": P6_SQL}
