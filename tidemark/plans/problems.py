@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.grid import missing_periods, regular_grid
 from tidemark.operators.knowledge import as_known
 from tidemark.operators.outlets import with_outlet
 from tidemark.operators.timestamps import normalise
 from tidemark.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, period_start): periods of the grid without a reading."""
+    return missing_periods(regular_grid(table(spark, sf_dir, "raw_observations")))
+
+
+def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole grid: readings, filled and marked periods."""
+    return regular_grid(table(spark, sf_dir, "raw_observations"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, obs_id): the reading current on each request's evaluation_date."""
     obs = table(spark, sf_dir, "raw_observations").where("value is not null and not isnan(value) and date is not null and realtime_start is not null and series_id is not null")
@@ -36,5 +47,21 @@ WHERE o.value IS NOT NULL AND NOT isnan(o.value)
 GROUP BY r.request_id
 """
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
-SQL = {"p6_found": P6_SQL}
+P4_SQL = """
+WITH stated AS (
+  SELECT series_id, CASE lower(left(trim(frequency), 1)) WHEN 'd' THEN 'daily' WHEN 'w' THEN 'weekly' WHEN 'm' THEN 'monthly' WHEN 'q' THEN 'quarterly' END AS freq
+  FROM raw_observations WHERE series_id IS NOT NULL),
+f AS (SELECT series_id, freq FROM stated WHERE freq IS NOT NULL GROUP BY 1, 2
+      QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY count(*) DESC, CASE freq WHEN 'daily' THEN 1 WHEN 'weekly' THEN 2 WHEN 'monthly' THEN 3 ELSE 4 END) = 1),
+seen AS (
+  SELECT DISTINCT series_id, freq, CASE freq WHEN 'weekly' THEN date_trunc('week', date) WHEN 'monthly' THEN date_trunc('month', date) WHEN 'quarterly' THEN date_trunc('quarter', date)
+    ELSE date - greatest(isodow(date)::INT - 5, 0) END::DATE AS p
+  FROM raw_observations JOIN f USING (series_id) WHERE value IS NOT NULL AND NOT isnan(value)),
+span AS (SELECT series_id, freq, min(p) AS lo, max(p) AS hi FROM seen GROUP BY 1, 2),
+days AS (SELECT series_id, freq, unnest(generate_series(lo, hi, CASE freq WHEN 'weekly' THEN INTERVAL 7 DAY WHEN 'monthly' THEN INTERVAL 1 MONTH WHEN 'quarterly' THEN INTERVAL 3 MONTH ELSE INTERVAL 1 DAY END))::DATE AS p FROM span)
+SELECT series_id, strftime(p, '%Y-%m-%d') AS period_start FROM days d
+WHERE NOT (freq = 'daily' AND isodow(p) > 5) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.series_id = d.series_id AND s.p = d.p)
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p7_found": p7_found}
+SQL = {"p4_found": P4_SQL, "p6_found": P6_SQL}
