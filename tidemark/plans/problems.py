@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.operators.grid import missing_periods, regular_grid
 from tidemark.operators.knowledge import as_known
 from tidemark.operators.outlets import with_outlet
+from tidemark.operators.spikes import implausible
 from tidemark.operators.timestamps import normalise
 from tidemark.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id): rows whose value is a spike, stuck or impossible."""
+    return implausible(table(spark, sf_dir, "raw_observations")).select("obs_id")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, reason) of the flagged rows."""
+    return implausible(table(spark, sf_dir, "raw_observations"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, period_start): periods of the grid without a reading."""
     return missing_periods(regular_grid(table(spark, sf_dir, "raw_observations")))
@@ -63,5 +74,5 @@ SELECT series_id, strftime(p, '%Y-%m-%d') AS period_start FROM days d
 WHERE NOT (freq = 'daily' AND isodow(p) > 5) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.series_id = d.series_id AND s.p = d.p)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p7_found": p7_found}
 SQL = {"p4_found": P4_SQL, "p6_found": P6_SQL}
