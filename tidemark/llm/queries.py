@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.capping import CapState, latest_quality, load_caps, merge_delivery
+from tidemark.llm.encoding import encode_documents, token_counts
+from tidemark.llm.mixture import mix
 from tidemark.operators.outlets import with_outlet
 from tidemark.session import durable, table
 
@@ -37,6 +39,27 @@ def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(spark, sf_dir).cutoffs.select("load", "contributor", "kept_n", "cut_q", "cut_id")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of every document."""
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    sized = durable(docs.select("doc_id", "source").join(token_counts(docs), "doc_id"), "sized")
+    return mix(sized, table(spark, sf_dir, "mixture_targets"))
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, repeats): the drawn documents."""
+    return mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached, per listed source."""
+    return mixture(spark, sf_dir)[1]
+
+
 P1_SQL = r"""
 WITH keys AS (
   SELECT regexp_replace(lower(k), '[^a-z0-9]', '', 'g') AS key, min(source_id) AS sid
@@ -53,5 +76,5 @@ r AS (SELECT n.item_id, cap, row_number() OVER (PARTITION BY n.batch_no, sid ORD
 SELECT item_id FROM r WHERE k > cap
 """
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares}
 SQL = {"p1_found": P1_SQL}
