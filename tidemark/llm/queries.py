@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import residue
 from tidemark.llm.capping import CapState, latest_quality, load_caps, merge_delivery
 from tidemark.llm.encoding import encode_documents, token_counts
 from tidemark.llm.mixture import mix
@@ -60,6 +61,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents to keep out."""
+    docs = table(spark, sf_dir, "documents")
+    return residue.residue(docs, residue.fit(docs)[0]).select("doc_id")
+
+
+def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(measure, value): agreement with the weak labels on sources left out of the fit."""
+    report = residue.fit(table(spark, sf_dir, "documents"))[1]
+    return spark.createDataFrame(sorted(report.items()), "measure string, value double")
+
+
 P1_SQL = r"""
 WITH keys AS (
   SELECT regexp_replace(lower(k), '[^a-z0-9]', '', 'g') AS key, min(source_id) AS sid
@@ -76,5 +89,5 @@ r AS (SELECT n.item_id, cap, row_number() OVER (PARTITION BY n.batch_no, sid ORD
 SELECT item_id FROM r WHERE k > cap
 """
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
 SQL = {"p1_found": P1_SQL}
