@@ -59,7 +59,21 @@ def durable(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     at = new_path(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._tidemark_path = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``durable`` wrote for tables that nothing reads any more, and let Spark drop shuffle files nothing refers to."""
+    for df in tables:
+        at = getattr(df, "_tidemark_path", None)
+        if at is not None:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(at)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
