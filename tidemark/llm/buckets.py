@@ -36,9 +36,9 @@ def small_bucket_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return whole.mapInPandas(_pairs, "a bigint, b bigint").distinct()
 
 
-def large_bucket_pairs(members: DataFrame, sizes: DataFrame, payload: DataFrame, check: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(a, b) of buckets of more than WHOLE members. ``payload``: (id, ...); ``check`` returns positions, in two blocks, of the pairs that hold."""
-    big = sizes.where(f"n > {WHOLE}").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+def large_bucket_pairs(members: DataFrame, sizes: DataFrame, payload: DataFrame, check: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], whole: int = WHOLE) -> DataFrame:
+    """(a, b) of buckets of more than ``whole`` members. ``payload``: (id, ...); ``check`` returns positions, in two blocks, of the pairs that hold."""
+    big = sizes.where(f"n > {whole}").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     at = members.join(big, "key").withColumn("blk", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
     # block k meets every block: as the lower of the two, or the upper
     spread = at.select("key", "id", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))

@@ -9,6 +9,7 @@ from tidemark.llm import residue
 from tidemark.llm.capping import CapState, latest_quality, load_caps, merge_delivery
 from tidemark.llm.encoding import encode_documents, token_counts
 from tidemark.llm.mixture import mix
+from tidemark.llm.neardup import Groups, Plan, classes, expanded, near_duplicates
 from tidemark.operators.outlets import with_outlet
 from tidemark.session import durable, table
 
@@ -40,6 +41,26 @@ def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(spark, sf_dir).cutoffs.select("load", "contributor", "kept_n", "cut_q", "cut_id")
 
 
+#: Three words, half in common, fifty words at least; finds a pair at the threshold with probability 0.955, at 0.6 with 0.9985.
+P5_PLAN = Plan(words=3, similarity=0.5, least_words=50, bands=48, rows=4)
+
+
+def news_groups(spark: SparkSession, sf_dir: str) -> Groups:
+    news = table(spark, sf_dir, "sample_news_items")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    return near_duplicates(news.select(F.col("item_id").alias("id"), text.alias("text")), P5_PLAN)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id_a, item_id_b): pairs of records that share at least half of their three-word runs."""
+    return expanded(news_groups(spark, sf_dir)).select(F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rep, n_links): one row per record of 50 words or more."""
+    return classes(news_groups(spark, sf_dir)).select(F.col("id").alias("item_id"), "rep", "n_links")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document."""
     return encode_documents(table(spark, sf_dir, "documents"))
@@ -73,6 +94,14 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(report.items()), "measure string, value double")
 
 
+P5_SQL = r"""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{L}\p{N}]+') AS ws FROM sample_news_items),
+s AS (SELECT DISTINCT item_id, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) AS sh FROM w WHERE len(ws) >= 50),
+n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.item_id < b.item_id GROUP BY 1, 2)
+SELECT a AS item_id_a, b AS item_id_b FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE 2 * k >= x.n + y.n - k
+"""
+
 P1_SQL = r"""
 WITH keys AS (
   SELECT regexp_replace(lower(k), '[^a-z0-9]', '', 'g') AS key, min(source_id) AS sid
@@ -89,5 +118,5 @@ r AS (SELECT n.item_id, cap, row_number() OVER (PARTITION BY n.batch_no, sid ORD
 SELECT item_id FROM r WHERE k > cap
 """
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
-SQL = {"p1_found": P1_SQL}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
+SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL}
