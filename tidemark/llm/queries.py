@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import residue
 from tidemark.llm.capping import CapState, latest_quality, load_caps, merge_delivery
 from tidemark.llm.encoding import encode_documents, token_counts
+from tidemark.llm.history import History, common_words
 from tidemark.llm.mixture import mix
 from tidemark.llm.neardup import Groups, Plan, classes, expanded, near_duplicates
 from tidemark.operators.outlets import with_outlet
@@ -41,6 +42,16 @@ def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(spark, sf_dir).cutoffs.select("load", "contributor", "kept_n", "cut_q", "cut_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id): records that bring an article already held. The first half of the loads makes the history, the rest is a new delivery."""
+    news = table(spark, sf_dir, "sample_news_items").select(F.col("item_id").alias("id"), F.col("batch_no").cast("long").alias("batch"), F.col("source_url").alias("url"), "title")
+    middle = news.agg(F.floor(F.avg("batch"))).first()[0] or 0
+    history = History(spark, frozenset(common_words(news)))
+    early = history.probe_and_append(news.where(F.coalesce(F.col("batch") <= middle, F.lit(True))))
+    late = history.probe_and_append(news.where(F.col("batch") > middle))
+    return early.unionByName(late).select(F.col("id").alias("item_id"))
+
+
 #: Three words, half in common, fifty words at least; finds a pair at the threshold with probability 0.955, at 0.6 with 0.9985.
 P5_PLAN = Plan(words=3, similarity=0.5, least_words=50, bands=48, rows=4)
 
@@ -118,5 +129,5 @@ r AS (SELECT n.item_id, cap, row_number() OVER (PARTITION BY n.batch_no, sid ORD
 SELECT item_id FROM r WHERE k > cap
 """
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p3_found": p3_found, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
 SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL}
