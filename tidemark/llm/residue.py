@@ -17,11 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in the sample for the fit: at most so many with a weak label and as many without.
-SAMPLE = 3_000
+from tidemark.llm.encoding import chunks
+
+#: Documents in the sample for the fit, about; at most twice as many reach the driver.
+SAMPLE = 12_000
 BITS, EPOCHS, RATE, RIDGE, SEED = 18, 12, 0.5, 1e-5, 7
 #: One source in so many is left out of the fit for validation.
 HOLD_OUT = 5
@@ -46,10 +48,11 @@ NOTICE = (
     r"|checking your browser|confirm you are human|session has expired|no longer available|access denied\. you|do not have permission|database connection|nosuchkey|traceback \(most recent|too many requests|^noscript\b|client-side code is off"
     r"|javascript aktivieren|aktivieren sie javascript|activer javascript|active javascript|javascriptを有効|ページが見つかりません|seite nicht gefunden|página no encontrada|page introuvable|accès refusé|no pudo completar"
 )
-STATUS = r"(?:^|\n)\s*(?:error |erreur |fehler |http |\{\"status\": )?[45]\d\d\b"
 
 SHAPE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in SHAPES))
 TOKEN = re.compile(r"§\w+|[^\W\d_]+|\d+|[^\w\s]")
+#: What every shape begins with, to look no further in most sentences.
+QUICK = re.compile(r"[{\[<$@#&]|__|%[A-Z(]|TK|XX")
 FILLER_RE, LOREM_RE, TALK_RE, NOTICE_RE = (re.compile(p, re.I) for p in (FILLER, LOREM, TALK, NOTICE))
 ENDS = re.compile(r"[.!?。！？…\"”»)\]]\s*$")
 SENTENCES = re.compile(r"(?<=[.!?。！？])(?=\s|[^\x00-\x7f])\s*")
@@ -65,40 +68,105 @@ def sentences_of(line: str) -> list[str]:
     return [s for s in SENTENCES.split(line) if s and s.strip()]
 
 
-def features(unit: str, title: str | None, seen: dict[str, int]) -> list[int]:
-    """Hashed n-grams, shape, length and title features of a sentence or line."""
-    first = SHAPE.search(unit)
-    # around a field its neighbourhood tells whether it is one left open or one talked about
-    near = unit[max(0, first.start() - WINDOW) : first.end() + WINDOW] if first else unit
-    t = SHAPE.sub(lambda m: f" §{m.lastgroup} ", near)
-    toks = ["9" if x.isdigit() else x for x in TOKEN.findall(t.lower())]
-    grams = toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
-    for run in CJK.findall(t):
-        grams += [run[i : i + 3] for i in range(len(run) - 1)]
-    n = len(toks)
-    if first:
-        grams += [f"~field{k}" for k in range(6)]
-    grams.append(f"~len{min(n.bit_length(), 7)}")
-    grams.append("~ends" if ENDS.search(unit) else "~open")
-    if title and unit.strip().lower() == title.strip().lower():
-        grams.append("~title")
-    if unit.isupper():
-        grams.append("~upper")
-    out = []
-    for g in set(grams):
-        h = seen.get(g)
-        if h is None:
-            h = zlib.crc32(g.encode("utf-8", "surrogatepass")) >> (32 - BITS)
-            if len(seen) < 500_000:
-                seen[g] = h
-        out.append(h)
-    return out
+@dataclass(frozen=True)
+class Rows:
+    """Hashed features of units: row k uses ``flat[start[k]:start[k + 1]]``."""
+
+    flat: np.ndarray
+    start: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def take(self, rows: np.ndarray) -> Rows:
+        n = np.diff(self.start)[rows]
+        at = np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        return Rows(self.flat[at], np.concatenate([[0], np.cumsum(n)]))
+
+
+@dataclass(frozen=True)
+class Units:
+    """Sentences and lines of a batch of documents, with their features."""
+
+    sentences: list[str]
+    lines: list[str]
+    sentence_doc: np.ndarray
+    line_doc: np.ndarray
+    sentence_rows: Rows
+    line_rows: Rows
+
+
+def _bucket(gram: str, known: dict[str, int]) -> int:
+    h = known.get(gram)
+    if h is None:
+        h = zlib.crc32(gram.encode("utf-8", "surrogatepass")) | 1 << 32
+        if len(known) < 500_000:
+            known[gram] = h
+    return h
+
+
+def _rows(h: np.ndarray, unit: np.ndarray, extra: list[int], extra_unit: list[int], n: int) -> Rows:
+    same = unit[1:] == unit[:-1]
+    two = ((h[:-1] * 0x9E3779B1) ^ (h[1:] * 0x85EBCA77))[same] if len(h) else h
+    two = (two ^ (two >> 15)) & 0xFFFFFFFF
+    every = np.concatenate([h, two, np.array(extra, dtype=np.int64)])
+    owner = np.concatenate([unit, unit[1:][same] if len(h) else unit, np.array(extra_unit, dtype=np.int64)])
+    order = np.argsort(owner, kind="stable")
+    start = np.searchsorted(owner[order], np.arange(n + 1))
+    return Rows((every[order] & ((1 << BITS) - 1)).astype(np.int64), start)
+
+
+def units(texts: list[str], titles: list[str | None], known: dict[str, int]) -> Units:
+    """Hashed n-grams, shape, length and title features of every sentence and line of a batch."""
+    sents, lines, sdoc, ldoc = [], [], [], []
+    hs, hu, hl = [], [], []
+    se, seu, le, leu = [], [], [], []
+    for k, (text, title) in enumerate(zip(texts, titles)):
+        head = title.strip().lower() if title else None
+        for line in lines_of(text):
+            lno, size = len(lines), 0
+            for s in sentences_of(line):
+                first = SHAPE.search(s) if QUICK.search(s) else None
+                if first is None and not LETTERS.search(s):
+                    continue
+                sno = len(sents)
+                # around a field its neighbourhood tells whether it is one left open or one talked about
+                near = SHAPE.sub(lambda m: f" §{m.lastgroup} ", s[max(0, first.start() - WINDOW) : first.end() + WINDOW]) if first else s
+                toks = [known.get(x) or _bucket("9" if x.isdigit() else x, known) for x in TOKEN.findall(near.lower())]
+                more = [f"~len{min(len(toks).bit_length(), 7)}", "~ends" if ENDS.search(s) else "~open"]
+                if not near.isascii():
+                    more += [run[i : i + 3] for run in CJK.findall(near) for i in range(len(run) - 1)]
+                if first:
+                    more += [f"~field{i}" for i in range(6)]
+                if s.isupper():
+                    more.append("~upper")
+                got = [_bucket(g, known) for g in more]
+                se += got
+                seu += [sno] * len(got)
+                le += got[2:]
+                leu += [lno] * (len(got) - 2)
+                hs += toks
+                hu += [sno] * len(toks)
+                hl += [lno] * len(toks)
+                size += len(toks)
+                sents.append(s)
+                sdoc.append(k)
+            more = [f"~len{min(size.bit_length(), 8)}", "~ends" if ENDS.search(line) else "~open"] + (["~title"] if head and line.lower() == head else [])
+            le += [_bucket(g, known) for g in more]
+            leu += [lno] * len(more)
+            lines.append(line)
+            ldoc.append(k)
+    h = np.array(hs, dtype=np.int64)
+    return Units(
+        sents, lines, np.array(sdoc, dtype=np.int64), np.array(ldoc, dtype=np.int64),
+        _rows(h, np.array(hu, dtype=np.int64), se, seu, len(sents)), _rows(h, np.array(hl, dtype=np.int64), le, leu, len(lines)),
+    )
 
 
 def weak_sentence(s: str) -> int:
     if TALK_RE.search(s):
         return 0
-    return int(bool(SHAPE.search(s) or FILLER_RE.search(s) or len(LOREM_RE.findall(s)) >= 2 and "Capital" not in s))
+    return int(bool((QUICK.search(s) and SHAPE.search(s)) or FILLER_RE.search(s) or len(LOREM_RE.findall(s)) >= 2 and "Capital" not in s))
 
 
 def weak_lines(lines: list[str], title: str | None) -> list[int]:
@@ -113,35 +181,31 @@ class Linear:
     weights: np.ndarray
     bias: float
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
-        n = np.array([len(r) for r in rows])
-        flat = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(n.sum()))
-        sums = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(n)[:-1]]))
-        return 1 / (1 + np.exp(-(sums / np.sqrt(n) + self.bias)))
+    def score(self, rows: Rows) -> np.ndarray:
+        n = np.diff(rows.start)
+        out = np.full(len(rows), self.bias)
+        some = n > 0
+        if some.any():
+            out[some] += np.add.reduceat(self.weights[rows.flat], rows.start[:-1][some]) / np.sqrt(n[some])
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_linear(rows: list[list[int]], y: np.ndarray) -> Linear:
-    """L2-regularised logistic regression by AdaGrad; both classes weigh the same. Constant without both classes."""
+def fit_linear(rows: Rows, y: np.ndarray) -> Linear:
+    """L2-regularised logistic regression by AdaGrad; the rarer class weighs more. Constant without both classes."""
     w, g2, bias, gb = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), 0.0, 1e-8
-    if len(rows) == 0 or y.min() == y.max():
+    if len(y) == 0 or y.min() == y.max():
         return Linear(w.astype("float32"), -9.0)
     rng = np.random.default_rng(SEED)
-    n = np.array([len(r) for r in rows])
-    flat, start = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(n.sum())), np.concatenate([[0], np.cumsum(n)])
-    scale = 1 / np.sqrt(n)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    weight = np.minimum(weight, 20.0)
+    weight = np.minimum(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 20.0)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(order) // 512)):
-            idx = np.concatenate([flat[start[k] : start[k + 1]] for k in part])
-            m = n[part]
-            z = np.add.reduceat(w[idx], np.concatenate([[0], np.cumsum(m)[:-1]])) * scale[part] + bias
+        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512)):
+            r = rows.take(part)
+            m = np.diff(r.start)
+            scale = 1 / np.sqrt(np.maximum(m, 1))
+            z = np.bincount(np.repeat(np.arange(len(part)), m), w[r.flat], minlength=len(part)) * scale + bias
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
-            used, inv = np.unique(idx, return_inverse=True)
-            grad = np.bincount(inv, np.repeat(err * scale[part], m)) + RIDGE * w[used]
+            used, inv = np.unique(r.flat, return_inverse=True)
+            grad = np.bincount(inv, np.repeat(err * scale, m), minlength=len(used)) + RIDGE * w[used]
             g2[used] += grad**2
             w[used] -= RATE * grad / np.sqrt(g2[used])
             gb += err.sum() ** 2
@@ -149,17 +213,13 @@ def fit_linear(rows: list[list[int]], y: np.ndarray) -> Linear:
     return Linear(w.astype("float32"), float(bias))
 
 
-def weak_document(text: Column) -> Column:
-    """JVM-side weak label of a document, to stratify the sample."""
-    shapes = "|".join(p for _, p in SHAPES)
-    return F.coalesce(text.rlike(shapes) | text.rlike("(?i)" + FILLER) | text.rlike("(?i)" + NOTICE) | text.rlike("(?i)" + STATUS) | text.rlike("(?i)" + LOREM), F.lit(False))
-
-
 def sample(docs: DataFrame, size: int = SAMPLE) -> pd.DataFrame:
-    """At most ``size`` documents with and ``size`` without a weak label, chosen by hash of their id."""
-    d = docs.where("text is not null").select("doc_id", "text", "title", "source").withColumn("weak", weak_document(F.col("text"))).withColumn("h", F.xxhash64("doc_id", F.lit(SEED)))
-    pick = [d.where(c).orderBy("h", "doc_id").limit(size) for c in ("weak", "not weak")]
-    return pick[0].unionByName(pick[1]).drop("h").toPandas()
+    """About ``size`` documents, at most twice as many, chosen by hash of their id."""
+    n = docs.count()
+    d = docs.where("text is not null").select("doc_id", "text", "title", "source")
+    if n > size:
+        d = d.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * size / n)).limit(2 * size)
+    return d.toPandas()
 
 
 @dataclass(frozen=True)
@@ -167,52 +227,48 @@ class Detector:
     sentence: Linear
     line: Linear
 
-    def judge(self, text: str, title: str | None, seen: dict[str, int]) -> tuple[str | None, float]:
-        """(kind, score): placeholder, notice or None."""
-        lines = lines_of(text)
-        if not lines:
-            return None, 0.0
-        sents = [s for x in lines for s in sentences_of(x) if LETTERS.search(s)]
-        ps = self.sentence.score([features(s, title, seen) for s in sents])
-        if ps.max(initial=0.0) >= THRESHOLD:
-            return "placeholder", float(ps.max())
-        pl = self.line.score([features(x, title, seen) for x in lines])
-        top = float(pl.max(initial=0.0))
-        if top < THRESHOLD:
-            return None, top
-        # exact check: no line is content, that is closed or tabular and no notice itself
-        content = any(p < THRESHOLD and ("\t" in x or (ENDS.search(x) and (title is None or x != title.strip()))) for p, x in zip(pl, lines))
-        return (None if content else "notice"), top
+    def judge(self, texts: list[str], titles: list[str | None], known: dict[str, int]) -> tuple[list[str | None], np.ndarray]:
+        """(kind, score) of each document: placeholder, notice or None."""
+        u = units(texts, titles, known)
+        ps, pl = self.sentence.score(u.sentence_rows), self.line.score(u.line_rows)
+        top_s, top_l = np.zeros(len(texts)), np.zeros(len(texts))
+        np.maximum.at(top_s, u.sentence_doc, ps)
+        np.maximum.at(top_l, u.line_doc, pl)
+        # exact check of a notice: no line is content, that is closed or tabular and no notice itself
+        content = np.zeros(len(texts), dtype=bool)
+        for k in np.flatnonzero((top_l[u.line_doc] >= THRESHOLD) & (pl < THRESHOLD)):
+            x, title = u.lines[k], titles[u.line_doc[k]]
+            if "\t" in x or (ENDS.search(x) and (title is None or x != title.strip())):
+                content[u.line_doc[k]] = True
+        kinds = ["placeholder" if a >= THRESHOLD else "notice" if b >= THRESHOLD and not c else None for a, b, c in zip(top_s, top_l, content)]
+        return kinds, np.where(top_s >= THRESHOLD, top_s, top_l)
 
 
 def _held_out(source: str | None) -> bool:
     return zlib.crc32((source or "").encode()) % HOLD_OUT == 0
 
 
-def _training(rows: pd.DataFrame) -> tuple[list[list[int]], np.ndarray, list[list[int]], np.ndarray]:
-    seen: dict[str, int] = {}
-    xs, ys, xl, yl = [], [], [], []
-    for text, title in zip(rows["text"], rows["title"]):
-        title = title if isinstance(title, str) else None
-        lines = lines_of(text)
-        for x, y in zip(lines, weak_lines(lines, title)):
-            xl.append(features(x, title, seen))
-            yl.append(y)
-            for s in sentences_of(x):
-                xs.append(features(s, title, seen))
-                ys.append(weak_sentence(s))
-    return xs, np.array(ys, dtype=float), xl, np.array(yl, dtype=float)
+def _training(rows: pd.DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
+    """Units of the sample and their weak labels."""
+    texts, titles = rows["text"].tolist(), [t if isinstance(t, str) else None for t in rows["title"]]
+    u = units(texts, titles, {})
+    ys = np.array([weak_sentence(s) for s in u.sentences], dtype=float)
+    yl = np.zeros(len(u.lines))
+    cut = np.searchsorted(u.line_doc, np.arange(len(texts) + 1))
+    for k, title in enumerate(titles):
+        yl[cut[k] : cut[k + 1]] = weak_lines(u.lines[cut[k] : cut[k + 1]], title)
+    return u, ys, yl
 
 
 def fit(docs: DataFrame, size: int = SAMPLE) -> tuple[Detector, dict[str, float]]:
     """The detector, and its agreement with the weak labels on sources left out of the fit."""
     rows = sample(docs, size)
     held = rows["source"].map(lambda s: _held_out(s if isinstance(s, str) else None))
-    xs, ys, xl, yl = _training(rows[~held])
-    det = Detector(fit_linear(xs, ys), fit_linear(xl, yl))
-    vs, vys, vl, vyl = _training(rows[held])
+    u, ys, yl = _training(rows[~held])
+    det = Detector(fit_linear(u.sentence_rows, ys), fit_linear(u.line_rows, yl))
+    v, vs, vl = _training(rows[held])
     report = {"fit_docs": float((~held).sum()), "held_docs": float(held.sum())}
-    for name, model, x, y in (("sentence", det.sentence, vs, vys), ("line", det.line, vl, vyl)):
+    for name, model, x, y in (("sentence", det.sentence, v.sentence_rows, vs), ("line", det.line, v.line_rows, vl)):
         got = model.score(x) >= THRESHOLD
         hit = float((got & (y == 1)).sum())
         report |= {f"{name}_precision": hit / max(1.0, float(got.sum())), f"{name}_recall": hit / max(1.0, float((y == 1).sum())), f"{name}_positives": float((y == 1).sum())}
@@ -221,10 +277,12 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> tuple[Detector, dict[str, float]
 
 def _scorer(det: Detector) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        known: dict[str, int] = {}
         for b in batches:
-            got = [det.judge(t, ti if isinstance(ti, str) else None, seen) if t else (None, 0.0) for t, ti in zip(b["text"], b["title"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "kind": [k for k, _ in got], "score": [s for _, s in got]})
+            texts, titles, ids = b["text"].tolist(), b["title"].tolist(), b["doc_id"].to_numpy()
+            for at in chunks(texts):
+                kinds, score = det.judge([t or "" for t in texts[at]], [t if isinstance(t, str) else None for t in titles[at]], known)
+                yield pd.DataFrame({"doc_id": ids[at], "kind": kinds, "score": score})
 
     return run
 
