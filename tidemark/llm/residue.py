@@ -28,6 +28,8 @@ BITS, EPOCHS, RATE, RIDGE, SEED = 18, 12, 0.5, 1e-5, 7
 #: One source in so many is left out of the fit for validation.
 HOLD_OUT = 5
 THRESHOLD = 0.5
+#: Characters under which a page without a label is left out of the fit.
+SHORT = 300
 #: Characters on each side of an open field that count as its neighbourhood.
 WINDOW = 80
 
@@ -45,7 +47,7 @@ TALK = r"template guide|is replaced by|editors type|handbook|old drafts|markers
 NOTICE = (
     r"(?:^|\berror |\berreur |\bfehler |\bstatus\W{1,3})[45]\d\d\b.{0,40}(?:not found|bad gateway|gateway time|internal server|unavailable|forbidden|too many|unauthori|bad request|accès refusé|no pudo|nicht)"
     r"|page not found|not found on this server|something went wrong on our end|(?:enable|activate|turn on|allow) (?:java ?script|scripts)|java ?script is (?:disabled|off|turned off|required)|(?:site|page) requires (?:java ?)?scripts?|browser (?:blocks|has) script"
-    r"|checking your browser|confirm you are human|session has expired|no longer available|access denied\. you|do not have permission|database connection|nosuchkey|traceback \(most recent|too many requests|^noscript\b|client-side code is off"
+    r"|checking your browser|confirm you are human|session has expired|no longer available|access denied\. you|do not have permission|database connection|timed out while waiting|connection (?:was |has been )?(?:timed out|reset|refused)|nosuchkey|traceback \(most recent|too many requests|^noscript\b|client-side code is off"
     r"|javascript aktivieren|aktivieren sie javascript|activer javascript|active javascript|javascriptを有効|ページが見つかりません|seite nicht gefunden|página no encontrada|page introuvable|accès refusé|no pudo completar"
 )
 
@@ -260,12 +262,23 @@ def _training(rows: pd.DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
     return u, ys, yl
 
 
+def _told(u: Units, ys: np.ndarray, yl: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Documents that are labelled, or long enough to be taken for documents proper."""
+    label = np.zeros(len(chars), dtype=bool)
+    label[u.sentence_doc[ys == 1]] = True
+    label[u.line_doc[yl == 1]] = True
+    return label | (chars >= SHORT)
+
+
 def fit(docs: DataFrame, size: int = SAMPLE) -> tuple[Detector, dict[str, float]]:
     """The detector, and its agreement with the weak labels on sources left out of the fit."""
     rows = sample(docs, size)
     held = rows["source"].map(lambda s: _held_out(s if isinstance(s, str) else None))
     u, ys, yl = _training(rows[~held])
-    det = Detector(fit_linear(u.sentence_rows, ys), fit_linear(u.line_rows, yl))
+    # a short page without any label may be a kind of notice the phrases don't know: it teaches nothing
+    known = _told(u, ys, yl, rows[~held]["text"].str.len().to_numpy())
+    s, ln = np.flatnonzero(known[u.sentence_doc]), np.flatnonzero(known[u.line_doc])
+    det = Detector(fit_linear(u.sentence_rows.take(s), ys[s]), fit_linear(u.line_rows.take(ln), yl[ln]))
     v, vs, vl = _training(rows[held])
     report = {"fit_docs": float((~held).sum()), "held_docs": float(held.sum())}
     for name, model, x, y in (("sentence", det.sentence, v.sentence_rows, vs), ("line", det.line, v.line_rows, vl)):
