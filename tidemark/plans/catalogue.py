@@ -6,18 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import problems
-
-MODULES = [problems]
+from tidemark.plans import macro, macro_sql, news, problems
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p6_found(spark, sf_dir)
+    return macro.latest_states(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return problems.QUERIES | macro.QUERIES | news.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return problems.SQL | macro_sql.SQL | news.SQL
