@@ -20,13 +20,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.buckets import large_bucket_pairs, small_bucket_pairs
+from tidemark.llm.buckets import WHOLE, large_bucket_pairs, small_bucket_pairs
 from tidemark.operators.outlets import url_host
-from tidemark.session import durable, new_path
-
-BANDS, ROWS, PARTITIONS = 24, 3, 64
-#: A word in at least this share of the headlines says little about which story it is. There are at most mean length / share of them.
-COMMON = 0.02
+from tidemark.session import bounded, durable, new_path, release
+
+BANDS, ROWS, PARTITIONS = 20, 3, 64
+#: A word in at least this share of the distinct headlines, and in so many of them, says little about which story it is.
+#: There are at most mean length / share such words.
+COMMON, COMMON_LEAST = 0.002, 30
+#: New keys up to which they are broadcast to the history's key files; beyond, both are shuffled.
+PROBE_ROWS = 500_000
 #: Word changes allowed besides spelling slips, and the part of a headline that a cut one must keep.
 SWAPS, KEEP = 2, 0.6
 
@@ -176,30 +179,45 @@ _MUL = np.random.default_rng(5).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np
 _ADD = np.random.default_rng(6).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64)
 
 
-def band_keys(toks: list[str], common: frozenset[str]) -> list[int]:
-    """Minwise keys over the words that tell stories apart (all words, if there are fewer than two of those)."""
+def band_keys(toks: list[str], kinds: str, common: frozenset[str]) -> list[int]:
+    """Minwise keys over the words that tell stories apart (all words, if there are fewer than two of those), with the headline's figures and months.
+
+    A figure or month at the very end may be lost where a headline is cut, so such a headline has a second set of keys without it.
+    """
     rare = {w for w in toks if w not in common}
     use = rare if len(rare) >= 2 else set(toks)
     if not use:
         return []
+    told = sorted(w for w, k in zip(toks, kinds) if k in "nm")
+    held = sorted(w for w, k in zip(toks[:-1], kinds[:-1]) if k in "nm")
     h = np.array([_hash(w) for w in use], dtype=np.uint64)
+    out: list[int] = []
     with np.errstate(over="ignore"):
         v = h[:, None] * _MUL[None, :] + _ADD[None, :]
         m = (v ^ (v >> np.uint64(31))).min(axis=0).reshape(BANDS, ROWS)
-        k = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for r in range(ROWS):
-            k = (k ^ m[:, r]) * np.uint64(0xFF51AFD7ED558CCD)
-            k ^= k >> np.uint64(29)
-    return (k >> np.uint64(1)).astype(np.int64).tolist()
+        for salt in [told] if told == held else [told, held]:
+            k = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(_hash(" ".join(salt)))
+            for r in range(ROWS):
+                k = (k ^ m[:, r]) * np.uint64(0xFF51AFD7ED558CCD)
+                k ^= k >> np.uint64(29)
+            out += (k >> np.uint64(1)).astype(np.int64).tolist()
+    return out
+
+
+def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        got = [words(t) for t in b["title"]]
+        plain = [" ".join(w) + (" …" if c else "") for w, _, c in got]
+        yield pd.DataFrame({"spelling": b["spelling"], "plain": plain, "kinds": [k for _, k, _ in got], "batch": b["batch"], "id": b["id"]})
 
 
-def _titled(common: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _keys(common: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [words(t) for t in b["title"]]
-            plain = [" ".join(w) + (" …" if c else "") for w, _, c in got]
-            kinds, keys = [k for _, k, _ in got], [band_keys(w, common) for w, _, _ in got]
-            yield pd.DataFrame({"title": b["title"], "plain": plain, "kinds": kinds, "batch": b["batch"], "id": b["id"], "keys": keys})
+            keys = [band_keys(*_row(p, k)[:2], common) for p, k in zip(b["plain"], b["kinds"])]
+            n = [len(k) for k in keys]
+            key = np.array([x for k in keys for x in k], dtype=np.int64)
+            yield pd.DataFrame({"part": (key % PARTITIONS).astype("int32"), "key": key, "head": np.repeat(b["head"].to_numpy(), n)})
 
     return run
 
@@ -223,79 +241,89 @@ def _verify_block(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray,
 
 
 def common_words(titles: DataFrame) -> list[str]:
-    """Words in at least COMMON of all headlines; their number is bounded by mean words / COMMON."""
+    """Words in at least COMMON of all distinct headlines; their number is bounded by mean words / COMMON."""
     tok = F.array_distinct(F.regexp_extract_all(F.lower(F.col("title")), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    t = titles.where("title is not null").select(tok.alias("w"))
+    t = titles.where("title is not null").select("title").distinct().select(tok.alias("w"))
     n = t.count()
-    counts = t.select(F.explode("w").alias("w")).groupBy("w").count().where(F.col("count") >= max(2.0, COMMON * n))
+    counts = t.select(F.explode("w").alias("w")).groupBy("w").count().where(F.col("count") >= max(float(COMMON_LEAST), COMMON * n))
     return sorted(r.w for r in counts.collect())
 
 
+TABLES = {"addresses": "address string, batch bigint, id bigint", "headlines": "head bigint, plain string, kinds string, batch bigint, id bigint", "keys": "key bigint, head bigint, part int"}
+
+
 @dataclass
 class History:
-    """State folder: one sub-folder per table, to which every batch adds files."""
+    """State folder: per table one sub-folder for each batch taken in, the keys' further split by hash of the key."""
 
     spark: SparkSession
     common: frozenset[str]
     path: str = ""
-    filled: bool = field(default=False)
+    taken: int = field(default=0)
 
     def __post_init__(self) -> None:
         self.path = self.path or new_path(self.spark, "history")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.filled:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+    def _old(self, name: str) -> DataFrame:
+        if not self.taken:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/taken={k}" for k in range(self.taken)]).drop("taken")
+
+    def _append(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        at = f"{self.path}/{name}/taken={self.taken}"
+        df.write.mode("overwrite").partitionBy(*by).parquet(at)
+        return self.spark.read.schema(TABLES[name]).parquet(at)
 
     def probe_and_append(self, records: DataFrame) -> DataFrame:
-        """(id) of the ``records`` (id, batch, url, title) that bring an article already held; then the new keys are appended.
+        """(id) of the ``records`` (id, batch, url, title) that bring an article already held; their new keys are appended.
 
         Earlier means smaller batch, or equal batch and smaller id, in the history or among ``records``. Null and blank
         addresses and headlines match nothing; a headline without words neither. Repeated records match the first of
-        them. Batches may come in any order; only the given records are judged.
+        them. Batches may come in any order; only the given records are judged. A batch that failed is simply given again.
         """
         order = F.struct("batch", "id")
+        first = F.min(order).alias("f")
         r = records.withColumn("address", address_key(F.col("url"))).withColumn("title", F.when(F.trim(F.col("title")) != "", F.col("title")))
-        r = durable(r.select("id", "batch", "address", "title"), "records")
+        r = r.withColumn("spelling", F.xxhash64("title"))
         # same address
-        new_a = r.where("address is not null").groupBy("address").agg(F.min(order).alias("f")).select("address", F.col("f.batch").alias("batch"), F.col("f.id").alias("id"))
-        new_a = durable(new_a, "addresses")
-        old_a = self._read("addresses", "address string, batch bigint, id bigint").join(new_a.select("address"), "address", "left_semi")
-        first_a = new_a.unionByName(old_a).groupBy("address").agg(F.min(order).alias("first"))
-        # headlines: one row per spelling, then per sequence of words; the fullest account of capitals is kept
-        spell = r.where("title is not null").groupBy("title").agg(F.min(order).alias("f")).select("title", F.col("f.batch").alias("batch"), F.col("f.id").alias("id"))
-        prep = durable(spell.mapInPandas(_titled(self.common), "title string, plain string, kinds string, batch bigint, id bigint, keys array<bigint>"), "spellings")
-        prep = prep.where("plain <> ''")
+        mine = self._append(r.where("address is not null").groupBy("address").agg(first).select("address", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "addresses")
+        held = self._old("addresses").join(mine.select("address"), "address", "left_semi")
+        by_address = mine.unionByName(held).groupBy("address").agg(F.min(order).alias("first"))
+        # headlines: one row per spelling, then per sequence of words; the spelling that tells most of its words' kinds speaks for it
+        spell = r.where("title is not null").groupBy("spelling", "title").agg(first).select("spelling", "title", F.col("f.batch").alias("batch"), F.col("f.id").alias("id"))
+        prep = durable(spell.mapInPandas(_spell, "spelling bigint, plain string, kinds string, batch bigint, id bigint").where("plain <> ''").withColumn("head", F.xxhash64("plain")), "spellings")
         told = F.length(F.regexp_replace("kinds", r"\?", ""))
-        new_h = prep.groupBy("plain").agg(F.max_by(F.struct("kinds", "keys"), told).alias("k"), F.min(order).alias("f"))
-        new_h = durable(new_h.select(F.xxhash64("plain").alias("head"), "plain", "k.kinds", "k.keys", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "headlines")
-        old_all = self._read("headlines", "head bigint, plain string, kinds string, batch bigint, id bigint")
-        fresh = durable(new_h.join(old_all.select("head"), "head", "left_anti"), "fresh")
-        # band keys of fresh headlines, and those of the history they meet
-        keys = fresh.select("head", F.explode("keys").alias("key"))
-        keys = durable(keys.select(F.pmod("key", F.lit(PARTITIONS)).cast("int").alias("part"), "key", "head"), "keys")
-        met = self._read("keys", "part int, key bigint, head bigint").join(keys.select("part", "key").distinct(), ["part", "key"], "left_semi")
-        members = durable(keys.select("key", F.col("head").alias("id")).unionByName(met.select("key", F.col("head").alias("id"))).distinct(), "members")
-        sizes = durable(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        members = members.join(sizes.select("key"), "key", "left_semi")
-        asked = members.select(F.col("id").alias("head")).unionByName(new_h.select("head")).distinct()
-        lines = new_h.select("head", "plain", "kinds", "batch", "id").unionByName(old_all.join(asked, "head", "left_semi"))
-        lines = durable(lines.groupBy("head").agg(F.max_by(F.struct("plain", "kinds"), F.length(F.regexp_replace("kinds", r"\?", ""))).alias("k"), F.min(order).alias("first")).select("head", "k.*", "first"), "lines")
+        heads = prep.groupBy("head", "plain").agg(F.max_by("kinds", told).alias("kinds"), first)
+        heads = self._append(heads.select("head", "plain", "kinds", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "headlines")
+        before = self._old("headlines")
+        fresh = heads.join(before.select("head"), "head", "left_anti") if self.taken else heads
+        keys = self._append(fresh.select("head", "plain", "kinds").mapInPandas(_keys(self.common), "part int, key bigint, head bigint"), "keys", "part")
+        # only the history's keys that the new ones meet, from the partitions they fall in
+        asked = keys.select("part", "key").distinct()
+        met = self._old("keys").join(bounded(asked, PROBE_ROWS), ["part", "key"], "left_semi") if self.taken else self._old("keys")
+        members = keys.select("key", F.col("head").alias("id")).unionByName(met.select("key", F.col("head").alias("id")))
+        counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
+        counted = durable(counted, "counted")
+        # two members are the pair itself; only larger buckets are looked up again
+        sizes = counted.where("n > 2").select("key", "n")
+        some = durable(members.join(bounded(sizes.select("key"), PROBE_ROWS), "key", "left_semi"), "members")
+        pairs = durable(counted.where("n = 2 and a <> b").select("a", "b").unionByName(small_bucket_pairs(some, sizes)).distinct(), "pairs")
+        big = sizes.where(f"n > {WHOLE}")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("head")).unionByName(some.join(big.select("key"), "key", "left_semi").select(F.col("id").alias("head"))).distinct()
+        lines = heads.unionByName(before).join(bounded(need, PROBE_ROWS), "head", "left_semi")
+        lines = durable(lines.groupBy("head").agg(F.max_by(F.struct("plain", "kinds"), told).alias("k"), F.min(order).alias("first")).select("head", "k.*", "first"), "lines")
         text = lambda c: lines.select(F.col("head").alias(c), F.col("plain").alias(f"p{c}"), F.col("kinds").alias(f"k{c}"))
-        pairs = small_bucket_pairs(members, sizes).join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify, "a bigint, b bigint")
-        big = large_bucket_pairs(members, sizes, lines.select(F.col("head").alias("id"), "plain", "kinds"), _verify_block)
-        links = durable(pairs.unionByName(big).distinct(), "links")
+        good = pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify, "a bigint, b bigint")
+        more = large_bucket_pairs(some, sizes, lines.select(F.col("head").alias("id"), "plain", "kinds"), _verify_block)
+        links = durable(good.unionByName(more).distinct(), "links")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(lines.select(F.col("head").alias("b"), "first"), "b").groupBy(F.col("a").alias("head")).agg(F.min("first").alias("near"))
-        first_h = lines.join(near, "head", "left").select("head", F.least("first", F.coalesce("near", "first")).alias("first_h"))
-        spelled = prep.select("title", F.xxhash64("plain").alias("head")).join(first_h, "head").select("title", "first_h")
-        judged = r.join(first_a, "address", "left").join(spelled, "title", "left")
+        own = heads.select("head", order.alias("o")).unionByName(before.join(heads.select("head"), "head", "left_semi").select("head", order.alias("o")))
+        by_head = own.unionByName(near.select("head", F.col("near").alias("o"))).groupBy("head").agg(F.min("o").alias("first_h"))
+        spelled = prep.select("spelling", "head").join(by_head, "head").select("spelling", "first_h")
+        judged = r.select("id", "batch", "address", F.when(F.col("title").isNotNull(), F.col("spelling")).alias("spelling")).join(by_address, "address", "left").join(spelled, "spelling", "left")
         me = F.struct("batch", "id")
         found = durable(judged.where(F.coalesce(me > F.col("first"), F.lit(False)) | F.coalesce(me > F.col("first_h"), F.lit(False))).select("id"), "found")
-        # append what is new; an address or headline met earlier in time than held gets another row, the least counts
-        new_a.write.mode("append").parquet(f"{self.path}/addresses")
-        new_h.select("head", "plain", "kinds", "batch", "id").write.mode("append").parquet(f"{self.path}/headlines")
-        keys.repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/keys")
-        self.filled = True
+        self.taken += 1
+        release(prep, counted, some, pairs, lines, links)
         return found
