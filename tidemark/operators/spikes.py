@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Chart: limit and clip in scales, weights of a new reading in mean and scale.
 LIMIT, CLIP, MEAN_WEIGHT, SCALE_WEIGHT = 6.5, 3.0, 0.5, 0.03
-#: Longest brief departure and shortest stuck run, in readings; share of standing still from which a series stays put by nature.
-BRIEF, STUCK, STILL = 3, 8, 0.2
+#: Longest brief departure and shortest stuck run, in readings; share of standing still over which a series stays put by nature, and least share of the series outside its stuck runs.
+BRIEF, STUCK, STILL, MOVING = 3, 8, 0.2, 0.4
 #: A peak returns yearly if so many and this share of the other years have one of like size, within so many days (or one spacing) of its date.
 SEASON_DAYS, SEASON_HITS, SEASON_SHARE, SEASON_RATIO = 7, 3, 0.6, 2.0
 
@@ -118,7 +118,8 @@ def stuck_runs(values: list[np.ndarray]) -> list[tuple[int, int, float]]:
     inside = sum(r[1] - r[0] for r in long)
     still = sum(r[1] - r[0] for r in runs) - inside
     moves = n - 1 - inside
-    return long if moves > 0 and still / moves <= STILL else []
+    # the rest of the series must be there to tell how it otherwise moves
+    return long if moves >= MOVING * (n - 1) and moves > 0 and still / moves <= STILL else []
 
 
 def judge(days: np.ndarray, values: list[np.ndarray]) -> list[tuple[int, float, str]]:

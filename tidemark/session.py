@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
-def local_session(cores: int | str = "*", app: str = "tidemark", **conf: str) -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "tidemark", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings the engine assumes (UTC, AQE)."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {
@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", app: str = "tidemark", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
-    } | {k.replace("_", "."): v for k, v in conf.items()}
+    } | (conf or {})
     for k, v in settings.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
