@@ -24,7 +24,7 @@ from tidemark.llm.encoding import chunks
 
 #: Documents in the sample for the fit, about; at most twice as many reach the driver.
 SAMPLE = 12_000
-BITS, EPOCHS, RATE, RIDGE, SEED = 18, 12, 0.5, 1e-5, 7
+BITS, EPOCHS, LEAST_STEPS, RATE, RIDGE, SEED = 18, 12, 1500, 0.5, 1e-5, 7
 #: One source in so many is left out of the fit for validation.
 HOLD_OUT = 5
 THRESHOLD = 0.5
@@ -199,8 +199,9 @@ def fit_linear(rows: Rows, y: np.ndarray) -> Linear:
         return Linear(w.astype("float32"), -9.0)
     rng = np.random.default_rng(SEED)
     weight = np.minimum(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 20.0)
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512)):
+    batches = max(1, len(rows) // 512)
+    for _ in range(max(EPOCHS, LEAST_STEPS // batches)):
+        for part in np.array_split(rng.permutation(len(rows)), batches):
             r = rows.take(part)
             m = np.diff(r.start)
             scale = 1 / np.sqrt(np.maximum(m, 1))
@@ -273,7 +274,7 @@ def _told(u: Units, ys: np.ndarray, yl: np.ndarray, chars: np.ndarray) -> np.nda
 def fit(docs: DataFrame, size: int = SAMPLE) -> tuple[Detector, dict[str, float]]:
     """The detector, and its agreement with the weak labels on sources left out of the fit."""
     rows = sample(docs, size)
-    held = rows["source"].map(lambda s: _held_out(s if isinstance(s, str) else None))
+    held = np.array([_held_out(s if isinstance(s, str) else None) for s in rows["source"]], dtype=bool)
     u, ys, yl = _training(rows[~held])
     # a short page without any label may be a kind of notice the phrases don't know: it teaches nothing
     known = _told(u, ys, yl, rows[~held]["text"].str.len().to_numpy())
