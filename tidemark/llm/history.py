@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -24,12 +25,14 @@ from tidemark.llm.buckets import WHOLE, large_bucket_pairs, small_bucket_pairs
 from tidemark.operators.outlets import url_host
 from tidemark.session import bounded, durable, new_path, release
 
-BANDS, ROWS, PARTITIONS = 20, 3, 64
+BANDS, ROWS, PARTITIONS = 12, 3, 64
 #: A word in at least this share of the distinct headlines, and in so many of them, says little about which story it is.
 #: There are at most mean length / share such words.
 COMMON, COMMON_LEAST = 0.002, 30
-#: New keys up to which they are broadcast to the history's key files; beyond, both are shuffled.
-PROBE_ROWS = 500_000
+#: Keys or headlines up to which they are broadcast to look up others; beyond, both sides are shuffled.
+PROBE_ROWS = 1_000_000
+#: A delivery with fewer than one new key for so many held ones picks out the held keys it meets; a larger one meets most of them anyway.
+SMALL = 8
 #: Word changes allowed besides spelling slips, and the part of a headline that a cut one must keep.
 SWAPS, KEEP = 2, 0.6
 
@@ -171,6 +174,7 @@ def same_headline(a: tuple[list[str], str, bool], b: tuple[list[str], str, bool]
     return "".join(x) == "".join(y)
 
 
+@lru_cache(maxsize=200_000)
 def _hash(w: str) -> int:
     return int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -179,29 +183,42 @@ _MUL = np.random.default_rng(5).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np
 _ADD = np.random.default_rng(6).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64)
 
 
-def band_keys(toks: list[str], kinds: str, common: frozenset[str]) -> list[int]:
-    """Minwise keys over the words that tell stories apart (all words, if there are fewer than two of those), with the headline's figures and months.
+def band_keys(lines: list[tuple[list[str], str]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the headline, key) for headlines given as (words, kinds).
 
-    A figure or month at the very end may be lost where a headline is cut, so such a headline has a second set of keys without it.
+    Keys are minwise over the words that tell stories apart (all words, if there are fewer than two of those), with the
+    headline's figures and months. One at the very end may be lost where a headline is cut, so such a headline has a
+    second set of keys without it.
     """
-    rare = {w for w in toks if w not in common}
-    use = rare if len(rare) >= 2 else set(toks)
-    if not use:
-        return []
-    told = sorted(w for w, k in zip(toks, kinds) if k in "nm")
-    held = sorted(w for w, k in zip(toks[:-1], kinds[:-1]) if k in "nm")
-    h = np.array([_hash(w) for w in use], dtype=np.uint64)
-    out: list[int] = []
+    hashes: list[int] = []
+    size = np.zeros(len(lines), dtype=np.int64)
+    salt_of, salts = [], []
+    for k, (toks, kinds) in enumerate(lines):
+        rare = {w for w in toks if w not in common}
+        use = rare if len(rare) >= 2 else set(toks)
+        size[k] = len(use)
+        hashes += [_hash(w) for w in use]
+        if not use:
+            continue
+        told = sorted(w for w, c in zip(toks, kinds) if c in "nm")
+        held = sorted(w for w, c in zip(toks[:-1], kinds[:-1]) if c in "nm")
+        for x in [told] if told == held else [told, held]:
+            salt_of.append(k)
+            salts.append(_hash(" ".join(x)))
+    if not hashes:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    some = np.flatnonzero(size)
+    start = np.concatenate([[0], np.cumsum(size[some])[:-1]])
     with np.errstate(over="ignore"):
-        v = h[:, None] * _MUL[None, :] + _ADD[None, :]
-        m = (v ^ (v >> np.uint64(31))).min(axis=0).reshape(BANDS, ROWS)
-        for salt in [told] if told == held else [told, held]:
-            k = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(_hash(" ".join(salt)))
-            for r in range(ROWS):
-                k = (k ^ m[:, r]) * np.uint64(0xFF51AFD7ED558CCD)
-                k ^= k >> np.uint64(29)
-            out += (k >> np.uint64(1)).astype(np.int64).tolist()
-    return out
+        v = np.array(hashes, dtype=np.uint64)[:, None] * _MUL[None, :] + _ADD[None, :]
+        m = np.minimum.reduceat(v ^ (v >> np.uint64(31)), start, axis=0).reshape(len(some), BANDS, ROWS)
+        owner = np.array(salt_of, dtype=np.int64)
+        m = m[np.searchsorted(some, owner)]
+        k = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.array(salts, dtype=np.uint64)[:, None]
+        for r in range(ROWS):
+            k = (k ^ m[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
+            k ^= k >> np.uint64(29)
+    return np.repeat(owner, BANDS), (k >> np.uint64(1)).astype(np.int64).ravel()
 
 
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,10 +231,8 @@ def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _keys(common: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [band_keys(*_row(p, k)[:2], common) for p, k in zip(b["plain"], b["kinds"])]
-            n = [len(k) for k in keys]
-            key = np.array([x for k in keys for x in k], dtype=np.int64)
-            yield pd.DataFrame({"part": (key % PARTITIONS).astype("int32"), "key": key, "head": np.repeat(b["head"].to_numpy(), n)})
+            at, key = band_keys([_row(p, k)[:2] for p, k in zip(b["plain"], b["kinds"])], common)
+            yield pd.DataFrame({"part": (key % PARTITIONS).astype("int32"), "key": key, "head": b["head"].to_numpy()[at]})
 
     return run
 
@@ -298,12 +313,14 @@ class History:
         before = self._old("headlines")
         fresh = heads.join(before.select("head"), "head", "left_anti") if self.taken else heads
         keys = self._append(fresh.select("head", "plain", "kinds").mapInPandas(_keys(self.common), "part int, key bigint, head bigint"), "keys", "part")
-        # only the history's keys that the new ones meet, from the partitions they fall in
-        asked = keys.select("part", "key").distinct()
-        met = self._old("keys").join(bounded(asked, PROBE_ROWS), ["part", "key"], "left_semi") if self.taken else self._old("keys")
-        members = keys.select("key", F.col("head").alias("id")).unionByName(met.select("key", F.col("head").alias("id")))
-        counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
-        counted = durable(counted, "counted")
+        met = self._old("keys")
+        if self.taken and keys.count() * SMALL < met.count():
+            # only the held keys that the new ones meet, from the partitions they fall in
+            met = met.join(bounded(keys.select("part", "key").distinct(), PROBE_ROWS), ["part", "key"], "left_semi")
+        members = keys.select("key", F.col("head").alias("id"), F.lit(1).alias("new")).unionByName(met.select("key", F.col("head").alias("id"), F.lit(0).alias("new")))
+        counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("new").alias("new")).where("n > 1 and new = 1")
+        counted = durable(counted.drop("new"), "counted")
+        members = members.select("key", "id")
         # two members are the pair itself; only larger buckets are looked up again
         sizes = counted.where("n > 2").select("key", "n")
         some = durable(members.join(bounded(sizes.select("key"), PROBE_ROWS), "key", "left_semi"), "members")
