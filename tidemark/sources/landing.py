@@ -31,7 +31,7 @@ def content_hash(source: str = "source", published: str = "published_at", title:
 
 def as_items(raw: DataFrame, provider: str) -> DataFrame:
     """News items with hash and id; rows without title and body, and text that is no time, give nulls rather than errors."""
-    t = F.coalesce(F.try_to_timestamp("published_at"), F.try_to_timestamp("published_at", F.lit("yyyyMMdd'T'HHmmss'Z'")), F.try_to_timestamp("published_at", F.lit("EEE, d MMM yyyy HH:mm:ss Z")))
+    t = F.coalesce(F.try_to_timestamp("published_at"), F.try_to_timestamp("published_at", F.lit("yyyyMMdd'T'HHmmss'Z'")), F.try_to_timestamp(F.regexp_replace("published_at", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
     x = raw.withColumn("published_at", t).where(F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim("body"), F.lit(""))).isNotNull())
     x = x.withColumn("content_hash", content_hash()).withColumn("news_id", F.concat(F.lit("news_"), F.substring("content_hash", 1, 16))).withColumn("provider", F.lit(provider))
     return x.select(NEWS_COLUMNS)
