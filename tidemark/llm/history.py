@@ -35,6 +35,10 @@ PROBE_ROWS = 1_000_000
 SMALL = 8
 #: Word changes allowed besides spelling slips, and the part of a headline that a cut one must keep.
 SWAPS, KEEP = 2, 0.6
+#: Words that may differ at all, spelling slips included.
+CHANGES = 4
+#: Headlines up to which the texts of candidate pairs are broadcast (some 40 MB); beyond, pairs and texts are shuffled.
+LINE_ROWS = 250_000
 
 # Query parts that do not select an article, month names, and marks that desks put before a headline.
 TRACKING = r"utm_[a-z_]+|fbclid|gclid|dclid|msclkid|igshid|mc_[ce]id|cmpid|cmp|ref|referrer|src|source|trk|spm|share|amp|outputtype"
@@ -156,6 +160,9 @@ def same_headline(a: tuple[list[str], str, bool], b: tuple[list[str], str, bool]
         return True
     if max(len(x), len(y)) > 12 or abs(len(x) - len(y)) > 2:
         return False
+    in_y = set(y)
+    if sum(w not in in_y for w in x) > CHANGES and "".join(x) != "".join(y):
+        return False
     # least cost of turning the differing middle of one into the other's
     inf = 99
     gap = lambda k: 1 if k == "w" else inf
@@ -225,7 +232,7 @@ def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [words(t) for t in b["title"]]
         plain = [" ".join(w) + (" …" if c else "") for w, _, c in got]
-        yield pd.DataFrame({"spelling": b["spelling"], "plain": plain, "kinds": [k for _, k, _ in got], "batch": b["batch"], "id": b["id"]})
+        yield pd.DataFrame({"plain": plain, "kinds": [k for _, k, _ in got], "batch": b["batch"], "id": b["id"]})
 
 
 def _keys(common: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -299,14 +306,13 @@ class History:
         order = F.struct("batch", "id")
         first = F.min(order).alias("f")
         r = records.withColumn("address", address_key(F.col("url"))).withColumn("title", F.when(F.trim(F.col("title")) != "", F.col("title")))
-        r = r.withColumn("spelling", F.xxhash64("title"))
         # same address
         mine = self._append(r.where("address is not null").groupBy("address").agg(first).select("address", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "addresses")
         held = self._old("addresses").join(mine.select("address"), "address", "left_semi")
         by_address = mine.unionByName(held).groupBy("address").agg(F.min(order).alias("first"))
-        # headlines: one row per spelling, then per sequence of words; the spelling that tells most of its words' kinds speaks for it
-        spell = r.where("title is not null").groupBy("spelling", "title").agg(first).select("spelling", "title", F.col("f.batch").alias("batch"), F.col("f.id").alias("id"))
-        prep = durable(spell.mapInPandas(_spell, "spelling bigint, plain string, kinds string, batch bigint, id bigint").where("plain <> ''").withColumn("head", F.xxhash64("plain")), "spellings")
+        # headlines: one row per sequence of words; the spelling that tells most of its words' kinds speaks for it
+        prep = r.where("title is not null").select("title", "batch", "id").mapInPandas(_spell, "plain string, kinds string, batch bigint, id bigint")
+        prep = durable(prep.where("plain <> ''").withColumn("head", F.xxhash64("plain")), "spellings")
         told = F.length(F.regexp_replace("kinds", r"\?", ""))
         heads = prep.groupBy("head", "plain").agg(F.max_by("kinds", told).alias("kinds"), first)
         heads = self._append(heads.select("head", "plain", "kinds", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "headlines")
@@ -329,7 +335,7 @@ class History:
         need = pairs.select(F.explode(F.array("a", "b")).alias("head")).unionByName(some.join(big.select("key"), "key", "left_semi").select(F.col("id").alias("head"))).distinct()
         lines = heads.unionByName(before).join(bounded(need, PROBE_ROWS), "head", "left_semi")
         lines = durable(lines.groupBy("head").agg(F.max_by(F.struct("plain", "kinds"), told).alias("k"), F.min(order).alias("first")).select("head", "k.*", "first"), "lines")
-        text = lambda c: lines.select(F.col("head").alias(c), F.col("plain").alias(f"p{c}"), F.col("kinds").alias(f"k{c}"))
+        text = lambda c: bounded(lines.select(F.col("head").alias(c), F.col("plain").alias(f"p{c}"), F.col("kinds").alias(f"k{c}")), LINE_ROWS)
         good = pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify, "a bigint, b bigint")
         more = large_bucket_pairs(some, sizes, lines.select(F.col("head").alias("id"), "plain", "kinds"), _verify_block)
         links = durable(good.unionByName(more).distinct(), "links")
@@ -337,10 +343,10 @@ class History:
         near = both.join(lines.select(F.col("head").alias("b"), "first"), "b").groupBy(F.col("a").alias("head")).agg(F.min("first").alias("near"))
         own = heads.select("head", order.alias("o")).unionByName(before.join(heads.select("head"), "head", "left_semi").select("head", order.alias("o")))
         by_head = own.unionByName(near.select("head", F.col("near").alias("o"))).groupBy("head").agg(F.min("o").alias("first_h"))
-        spelled = prep.select("spelling", "head").join(by_head, "head").select("spelling", "first_h")
-        judged = r.select("id", "batch", "address", F.when(F.col("title").isNotNull(), F.col("spelling")).alias("spelling")).join(by_address, "address", "left").join(spelled, "spelling", "left")
         me = F.struct("batch", "id")
-        found = durable(judged.where(F.coalesce(me > F.col("first"), F.lit(False)) | F.coalesce(me > F.col("first_h"), F.lit(False))).select("id"), "found")
+        again = r.where("address is not null").select("id", "batch", "address").join(by_address, "address").where(me > F.col("first")).select("id")
+        told_before = prep.select("id", "batch", "head").join(by_head, "head").where(me > F.col("first_h")).select("id")
+        found = durable(again.unionByName(told_before).distinct(), "found")
         self.taken += 1
         release(prep, counted, some, pairs, lines, links)
         return found
