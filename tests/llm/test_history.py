@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.history import History, address_key, same_headline, words
+from tidemark.llm.history import History, address_key, same_headline, story_keys, words
 
 BASE = "Hauliers warn of uneven services activity after Dovan Likeris cuts its rate path in May"
 
@@ -67,3 +67,29 @@ def test_large_bucket(spark):
     common = frozenset({f"word{i}" for i in range(80)} | {f"item{i * 7}" for i in range(80)} | {f"note{i * 11}" for i in range(80)})
     got = {r.id for r in History(spark, common).probe_and_append(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {500}
+
+
+def meet(a, b, common):
+    """Whether two headlines share a key."""
+    at, key = story_keys([words(a)[:2], words(b)[:2]], common)
+    return bool(set(key[at == 0]) & set(key[at == 1]))
+
+
+COMMON = frozenset("hauliers warn of uneven services activity after cuts its rate path in may demand prices orders".split())
+
+
+def test_two_slips_always_share_a_key():
+    # two or three telling words, one or two words slipped or put for others: all meet, whatever the hashes
+    for k in range(150):
+        name = f"Do{chr(97 + k % 26)}a{chr(97 + k // 26)} Likeris"
+        t = f"Hauliers warn of uneven services activity after {name} cuts its rate path in May"
+        variants = [t.replace("uneven", "unevn"), t.replace("uneven", "unevn").replace("services", "servcies"), t.replace("activity", "demand").replace("Hauliers", "Haluiers")]
+        for v in variants:
+            assert same(t, v) and meet(t, v, COMMON), v
+        flat, slips = t.upper(), t.upper().replace("LIKERIS", "LIKEIRS").replace("UNEVEN", "UNEVN")
+        assert same(flat, slips) and meet(flat, slips, COMMON), slips
+        third = t.replace("services", "quixotic")
+        for v in (third.replace("quixotic", "quixotc").replace("uneven", "unevn"), third.replace("quixotic", "prices").replace("uneven", "orders")):
+            assert same(third, v) and meet(third, v, COMMON), v
+    other = BASE.replace("after", "in June after")
+    assert not meet(BASE, other, COMMON)

@@ -1,8 +1,8 @@
 """New batches against all history: same page address or same headline.
 
 The state is three tables that only grow: addresses and headlines with their first record, and
-minwise band keys of the headlines, partitioned by hash. A batch looks up its addresses and
-headlines, probes the key partitions with its own band keys, compares the headlines that share a
+keys of the headlines' telling words, partitioned by hash. A batch looks up its addresses and
+headlines, probes the key partitions with its own keys, compares the headlines that share a
 key, and appends what is new; the history's texts are never read again.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from tidemark.llm.buckets import WHOLE, large_bucket_pairs, small_bucket_pairs
 from tidemark.operators.outlets import url_host
 from tidemark.session import bounded, durable, new_path, release
 
-BANDS, ROWS, PARTITIONS = 12, 3, 64
+PARTITIONS = 64
 #: A word in at least this share of the distinct headlines, and in so many of them, says little about which story it is.
 #: There are at most mean length / share such words.
 COMMON, COMMON_LEAST = 0.002, 30
@@ -37,6 +38,12 @@ SMALL = 8
 SWAPS, KEEP = 2, 0.6
 #: Words that may differ at all, spelling slips included.
 CHANGES = 4
+#: Words on either side that may differ where two headlines share less than two telling words, and common words that stand in if they share none.
+EDITS, REST = 2, 6
+#: Telling words whose pairs are keys: two, and as many as one headline may have that the other has not.
+PAIR_WORDS = 2 + CHANGES + SWAPS
+#: Word hashes after all others, for headlines of few common words.
+BLANKS = [(1 << 64) - 1 - k for k in reversed(range(REST + EDITS))]
 #: Headlines up to which the texts of candidate pairs are broadcast (some 40 MB); beyond, pairs and texts are shuffled.
 LINE_ROWS = 250_000
 
@@ -186,46 +193,54 @@ def _hash(w: str) -> int:
     return int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-_MUL = np.random.default_rng(5).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_ADD = np.random.default_rng(6).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64)
+def _mixed(rows: list[tuple[int, ...]], words: int) -> np.ndarray:
+    """One key of 63 bits for each row of a salt and so many word hashes."""
+    m = np.array(rows, dtype=np.uint64).reshape(len(rows), words + 1)
+    k = np.full(len(rows), words * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for c in range(words + 1):
+            k = (k ^ m[:, c]) * np.uint64(0xFF51AFD7ED558CCD)
+            k ^= k >> np.uint64(29)
+    return (k >> np.uint64(1)).astype(np.int64)
+
 
+def _word_sets(toks: list[str], common: frozenset[str]) -> Iterator[tuple[int, ...]]:
+    """Sets of word hashes of which two headlines share one if they share two telling words, or are at most EDITS words apart on either side.
 
-def band_keys(lines: list[tuple[list[str], str]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    Words in order of hash: the least k of those that two headlines share are among the first k + e of either, where e
+    words of it are not shared. So pairs of the first telling words are enough, however many there are. Headlines that
+    share one telling word, or none, have few of them, all others being edited; what is left of EDITS bounds the edits of
+    the common words that stand in for them. Blanks stand in where those are few.
+    """
+    tell = sorted(_hash(w) for w in set(toks) - common)
+    rest = sorted(_hash(w) for w in set(toks) & common) + BLANKS
+    t = len(tell)
+    yield from combinations(tell[:PAIR_WORDS], 2)
+    if 1 <= t <= EDITS + 1:
+        for x in combinations(rest[: 2 + EDITS + 1 - t], 2):
+            yield from ((a, *x) for a in tell)
+    if t < 2:
+        yield from combinations(rest[: REST + EDITS - t], REST)
+
+
+def story_keys(lines: list[tuple[list[str], str]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
     """(position of the headline, key) for headlines given as (words, kinds).
 
-    Keys are minwise over the words that tell stories apart (all words, if there are fewer than two of those), with the
-    headline's figures and months. One at the very end may be lost where a headline is cut, so such a headline has a
-    second set of keys without it.
+    Keys are sets of words (see ``_word_sets``) with the headline's figures and months. One at the very end may be lost
+    where a headline is cut, so such a headline has a second set of keys without it.
     """
-    hashes: list[int] = []
-    size = np.zeros(len(lines), dtype=np.int64)
-    salt_of, salts = [], []
+    rows: dict[int, list[tuple[int, ...]]] = {2: [], 3: [], REST: []}
+    owner: dict[int, list[int]] = {n: [] for n in rows}
     for k, (toks, kinds) in enumerate(lines):
-        rare = {w for w in toks if w not in common}
-        use = rare if len(rare) >= 2 else set(toks)
-        size[k] = len(use)
-        hashes += [_hash(w) for w in use]
-        if not use:
+        if not toks:
             continue
-        told = sorted(w for w, c in zip(toks, kinds) if c in "nm")
-        held = sorted(w for w, c in zip(toks[:-1], kinds[:-1]) if c in "nm")
-        for x in [told] if told == held else [told, held]:
-            salt_of.append(k)
-            salts.append(_hash(" ".join(x)))
-    if not hashes:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    some = np.flatnonzero(size)
-    start = np.concatenate([[0], np.cumsum(size[some])[:-1]])
-    with np.errstate(over="ignore"):
-        v = np.array(hashes, dtype=np.uint64)[:, None] * _MUL[None, :] + _ADD[None, :]
-        m = np.minimum.reduceat(v ^ (v >> np.uint64(31)), start, axis=0).reshape(len(some), BANDS, ROWS)
-        owner = np.array(salt_of, dtype=np.int64)
-        m = m[np.searchsorted(some, owner)]
-        k = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.array(salts, dtype=np.uint64)[:, None]
-        for r in range(ROWS):
-            k = (k ^ m[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
-            k ^= k >> np.uint64(29)
-    return np.repeat(owner, BANDS), (k >> np.uint64(1)).astype(np.int64).ravel()
+        told = " ".join(sorted(w for w, c in zip(toks, kinds) if c in "nm"))
+        held = " ".join(sorted(w for w, c in zip(toks[:-1], kinds[:-1]) if c in "nm"))
+        salts = [_hash(x) for x in {told, held}]
+        for x in _word_sets(toks, common):
+            rows[len(x)] += [(s, *x) for s in salts]
+            owner[len(x)] += [k] * len(salts)
+    return np.concatenate([np.array(owner[n], dtype=np.int64) for n in rows]), np.concatenate([_mixed(rows[n], n) for n in rows])
 
 
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +253,7 @@ def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _keys(common: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at, key = band_keys([_row(p, k)[:2] for p, k in zip(b["plain"], b["kinds"])], common)
+            at, key = story_keys([_row(p, k)[:2] for p, k in zip(b["plain"], b["kinds"])], common)
             yield pd.DataFrame({"part": (key % PARTITIONS).astype("int32"), "key": key, "head": b["head"].to_numpy()[at]})
 
     return run
