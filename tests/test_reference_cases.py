@@ -208,6 +208,14 @@ def test_leader_clusters_match_greedy_loop(spark):
     assert {r.id: r.event_id for r in text.leaders(*text.similar_classes(d, 0.6)).collect()} == want
 
 
+def test_leaders_of_a_long_chain(spark):
+    # each item is similar to its neighbours only, and only the least open one can be decided
+    n = 54
+    links = spark.createDataFrame([(k, k + 1, 0.7) for k in range(1, n)], "a long, b long, similarity double").coalesce(1)
+    members = spark.createDataFrame([(k, k) for k in range(1, n + 1)], "id long, rep long").coalesce(1)
+    assert {r.id: r.event_id for r in text.leaders(links, members).collect()} == {k: k if k % 2 else k - 1 for k in range(1, n + 1)}
+
+
 def test_guardrail_and_repair(spark):
     i = spark.createDataFrame([(1, "e", "headwind", 0.9), (2, "e", "tailwind", 0.9), (3, "e", "headwind", 0.1), (4, "x", "headwind", 0.9), (5, "e", "neutral", 0.9)], "news_id long, sector_id string, impact_direction string, confidence double")
     t = spark.createDataFrame([(k, "t", "positive") for k in (1, 2, 3, 4, 5)], "news_id long, theme_id string, direction string")

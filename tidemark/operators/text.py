@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import durable
-
-ROUNDS = 50
+from tidemark.session import durable, release
 
 
 def tokens(text: Column) -> Column:
@@ -71,21 +69,19 @@ def leaders(links: DataFrame, members: DataFrame) -> DataFrame:
 
     ``links`` and ``members`` as from ``similar_classes``; equal items share their representative's event. By rounds: an
     undecided item with a leader among its earlier neighbours is a member, one whose earlier neighbours are all members
-    leads. Each round is written to the shared folder, so the plan doesn't grow; no group is gathered.
+    leads. Every round decides at least the least open id, so the rounds end; each is written to the shared folder, so the
+    plan doesn't grow, and the one before is deleted; no group is gathered.
     """
     pairs = links
     reps = members.select(F.col("rep").alias("id")).distinct()
     state = durable(reps.join(pairs.select(F.col("b").alias("id")).distinct().withColumn("_o", F.lit(1)), "id", "left").select("id", F.when(F.col("_o").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("s")), "state")
     edges = durable(pairs.select("a", "b"), "edges")
-    for _ in range(ROUNDS):
+    while not state.where("s = 0").isEmpty():
         near = edges.join(state.where("s = 0").select(F.col("id").alias("b")), "b").join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         seen = near.groupBy(F.col("b").alias("id")).agg(F.max((F.col("sa") == 1).cast("int")).alias("led"), F.max((F.col("sa") == 0).cast("int")).alias("open"))
         new = F.when(F.col("s") != 0, F.col("s")).when(F.col("led") == 1, 2).when(F.col("open") == 0, 1).otherwise(0)
-        state = durable(state.join(seen, "id", "left").select("id", new.alias("s")), "state")
-        if state.where("s = 0").isEmpty():
-            break
-    else:
-        raise RuntimeError("leader rounds did not settle")
+        before, state = state, durable(state.join(seen, "id", "left").select("id", new.alias("s")), "state")
+        release(before)
     first = edges.join(state.where("s = 1").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("lead"))
     settled = state.join(first, "id", "left").select(F.col("id").alias("rep"), F.when(F.col("s") == 1, F.col("id")).otherwise(F.col("lead")).alias("event_id"))
     return members.join(settled, "rep").select("id", "event_id")
