@@ -93,3 +93,15 @@ def test_two_slips_always_share_a_key():
             assert same(third, v) and meet(third, v, COMMON), v
     other = BASE.replace("after", "in June after")
     assert not meet(BASE, other, COMMON)
+
+
+def test_few_telling_words():
+    # none, one or two telling words, all of them slipped, or common words slipped into telling ones
+    for k in range(60):
+        flat = f"HAULIERS WARN OF UNEVEN SERVICES ACTIVITY AFTER DO{chr(65 + k % 26)}A{chr(65 + k // 26)} LIKERIS CUTS ITS RATE PATH IN MAY"
+        slips = flat.replace(" LIKERIS", " LIKEIRS").replace("AFTER DO", "AFTER OD")
+        assert same(flat, slips) and meet(flat, slips, COMMON), slips
+    plain = "Hauliers warn of uneven services activity after cuts in demand"
+    for t in (plain, plain.replace("after", "after Likeris")):
+        for v in (t.replace("uneven", "unevn"), t.replace("uneven", "unevn").replace("services", "servcies")):
+            assert same(t, v) and meet(t, v, COMMON), v

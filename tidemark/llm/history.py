@@ -219,7 +219,7 @@ def _word_sets(toks: list[str], common: frozenset[str]) -> Iterator[tuple[int, .
     if 1 <= t <= EDITS + 1:
         for x in combinations(rest[: 2 + EDITS + 1 - t], 2):
             yield from ((a, *x) for a in tell)
-    if t < 2:
+    if t <= EDITS:
         yield from combinations(rest[: REST + EDITS - t], REST)
 
 
