@@ -69,6 +69,12 @@ def test_large_bucket(spark):
     assert got == {500}
 
 
+def test_edits_far_apart():
+    v = BASE.replace("Hauliers", "Haluiers").replace("path", "ptah")
+    assert same(BASE, v) and same(v, BASE)
+    assert same(BASE, BASE.replace("warn of", "warn").replace(" path", " policy path")) and not same(BASE, v.replace("Dovan", "Doran"))
+
+
 def meet(a, b, common):
     """Whether two headlines share a key."""
     at, key = story_keys([words(a)[:2], words(b)[:2]], common)

@@ -165,22 +165,23 @@ def same_headline(a: tuple[list[str], str, bool], b: tuple[list[str], str, bool]
     x, kx, y, ky = x[i : len(x) - j], kx[i : len(kx) - j], y[i : len(y) - j], ky[i : len(ky) - j]
     if not x and not y:
         return True
-    if max(len(x), len(y)) > 12 or abs(len(x) - len(y)) > 2:
+    if abs(len(x) - len(y)) > SWAPS:
         return False
     in_y = set(y)
     if sum(w not in in_y for w in x) > CHANGES and "".join(x) != "".join(y):
         return False
-    # least cost of turning the differing middle of one into the other's
+    # least cost of turning the differing middle of one into the other's; a word lost or put in costs 1, so the way stays within SWAPS of the diagonal
     inf = 99
     gap = lambda k: 1 if k == "w" else inf
     row = [0]
     for k in ky:
         row.append(min(inf, row[-1] + gap(k)))
-    for p, kp in zip(x, kx):
-        new = [min(inf, row[0] + gap(kp))]
-        for q, (w, kw) in enumerate(zip(y, ky)):
-            d = _differ(p, kp, w, kw)
-            new.append(min(row[q] + (inf if d is None else d), row[q + 1] + gap(kp), new[q] + gap(kw)))
+    for i, (p, kp) in enumerate(zip(x, kx)):
+        new = [inf] * (len(y) + 1)
+        new[0] = min(inf, row[0] + gap(kp))
+        for q in range(max(0, i - SWAPS), min(len(y), i + SWAPS + 1)):
+            d = _differ(p, kp, y[q], ky[q])
+            new[q + 1] = min(row[q] + (inf if d is None else d), row[q + 1] + gap(kp), new[q] + gap(ky[q]))
         row = new
     if row[-1] <= SWAPS:
         return True
