@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in rows, that may be broadcast; the check reads at most this many rows plus one.
-BROADCAST_ROWS = 20_000
+#: Largest table, in bytes as written, that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark", conf: dict[str, str] | None = None) -> SparkSession:
@@ -54,6 +54,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
+def _files(spark: SparkSession, at: str):
+    """(file system, path) of a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def make_folder(spark: SparkSession, at: str) -> None:
+    """An empty folder: a mark that is there or not, never half written."""
+    fs, p = _files(spark, at)
+    fs.mkdirs(p)
+
+
+def folder_names(spark: SparkSession, at: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, p = _files(spark, at)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def durable(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -65,21 +83,19 @@ def durable(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete what ``durable`` wrote for tables that nothing reads any more, and let Spark drop shuffle files nothing refers to."""
+    """Delete what ``durable`` wrote for tables that nothing reads any more."""
     for df in tables:
         at = getattr(df, "_tidemark_path", None)
         if at is not None:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(at)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+            fs, p = _files(df.sparkSession, at)
+            fs.delete(p, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else unchanged, so that Spark shuffles it."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if, written, it takes at most ``most`` bytes; else unmarked, so that Spark shuffles it. Written once if ``durable`` didn't yet."""
+    kept = df if hasattr(df, "_tidemark_path") else durable(df, "bounded")
+    fs, p = _files(kept.sparkSession, kept._tidemark_path)
+    return F.broadcast(kept) if fs.getContentSummary(p).getLength() <= most else kept
 
 
 def shuffle_width(spark: SparkSession) -> int:
