@@ -47,14 +47,14 @@ SCHEMA = "id long, batch long, url string, title string"
 
 @pytest.mark.parametrize("cuts", [[0, 11], [0, 4, 7, 11]])
 def test_incremental_equals_whole(spark, cuts):
-    h, got = History(spark, frozenset()), set()
+    h, got = History(spark, common=frozenset()), set()
     for a, b in zip(cuts, cuts[1:]):
         got |= {r.id for r in h.probe_and_append(spark.createDataFrame(RECORDS[a:b], SCHEMA)).collect()}
     assert got == FOUND
 
 
 def test_late_batch_repeats_and_empty(spark):
-    h = History(spark, frozenset())
+    h = History(spark, common=frozenset())
     assert {r.id for r in h.probe_and_append(spark.createDataFrame([(50, 9, None, BASE), (51, 9, None, BASE)], SCHEMA)).collect()} == {51}
     # an older batch that arrives later is judged by its own time
     assert {r.id for r in h.probe_and_append(spark.createDataFrame([(5, 1, None, BASE)], SCHEMA)).collect()} == set()
@@ -65,7 +65,7 @@ def test_large_bucket(spark):
     # one story's names in many different headlines: more than a bucket keeps whole
     rows = [(i, 1, None, f"Zarith Komen word{i} item{i * 7} note{i * 11}") for i in range(80)] + [(500, 2, None, "Zarith Komen word5 itm35 note55")]
     common = frozenset({f"word{i}" for i in range(80)} | {f"item{i * 7}" for i in range(80)} | {f"note{i * 11}" for i in range(80)})
-    got = {r.id for r in History(spark, common).probe_and_append(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.id for r in History(spark, common=common).probe_and_append(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {500}
 
 
@@ -111,3 +111,55 @@ def test_few_telling_words():
     for t in (plain, plain.replace("after", "after Likeris")):
         for v in (t.replace("uneven", "unevn"), t.replace("uneven", "unevn").replace("services", "servcies")):
             assert same(t, v) and meet(t, v, COMMON), v
+
+
+def test_closed_and_opened_again(spark, tmp_path):
+    at = str(tmp_path / "state")
+    first = History(spark, at, frozenset(), 3)
+    assert {r.id for r in first.probe_and_append(spark.createDataFrame(RECORDS[:4], SCHEMA)).collect()} == {3}
+    # a batch broken off after its keys were written leaves nothing that counts
+    broken = History(spark, at)
+    broken.probe_and_append(spark.createDataFrame(RECORDS[4:8], SCHEMA)).collect()
+    (tmp_path / "state" / "done" / "00000001").rmdir()
+    again = History(spark, at)
+    assert again.buckets == 3 and again.common == frozenset()
+    got = {r.id for r in again.probe_and_append(spark.createDataFrame(RECORDS[4:8], SCHEMA)).collect()}
+    got |= {r.id for r in History(spark, at).probe_and_append(spark.createDataFrame(RECORDS[8:], SCHEMA)).collect()}
+    assert got | {3} == FOUND
+
+
+def test_stored_common_words(spark, tmp_path):
+    at = str(tmp_path / "state")
+    rows = [(i, 1, None, f"Growth in Region{i} slows") for i in range(40)]
+    History(spark, at).probe_and_append(spark.createDataFrame(rows, SCHEMA)).collect()
+    # digits are words of their own, so every region is common here too
+    assert {"growth", "slows"} <= History(spark, at).common
+
+
+@pytest.mark.parametrize(
+    ("whole", "cut"),
+    [
+        ("Hauliers warn of services activity after Dovan Likeris cuts outlook to 3.2% in May", "Hauliers warn of services activity after Dovan Likeris cuts outlook to…"),
+        ("Hauliers warn of services activity after Dovan Likeris cuts outlook to 3.2% in May", "Hauliers warn of services activity after Dovan Likeris cuts outlook to 3…"),
+        ("Steel output at old Marel declined 14.8% in October, Reneris budget committee says", "Steel output at old Marel declined 14.8% in…"),
+    ],
+)
+def test_cut_headlines_share_keys(whole, cut):
+    assert same(whole, cut) and same(cut, whole)
+    assert meet(whole, cut, frozenset("hauliers warn of services activity after cuts outlook to in steel output at declined says budget committee".split()))
+
+
+def test_symmetric():
+    a, b = "Report says the alpha bravo charlie quick brown golf done", "Report says the alpha bavo chalie golf done"
+    assert same(a, b) == same(b, a)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every headline whose id is divisible by 50, against all."""
+    d = "/root/testdata/sf0.01/sample_news_items.parquet"
+    rows = [(r.item_id, r.batch_no, r.title) for r in spark.read.parquet(d).where("title is not null").collect()]
+    said = [(i, b, words(t)) for i, b, t in rows]
+    got = {r.id for r in History(spark).probe_and_append(spark.createDataFrame([(i, b, None, t) for i, b, t in rows], SCHEMA)).collect()}
+    for i, b, w in said:
+        if i % 50 == 0 and w[0]:
+            assert (i in got) == any((c, j) < (b, i) and v[0] and same_headline(w, v) for j, c, v in said), i

@@ -36,8 +36,8 @@ def small_bucket_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return whole.mapInPandas(_pairs, "a bigint, b bigint").distinct()
 
 
-def large_bucket_pairs(members: DataFrame, sizes: DataFrame, payload: DataFrame, check: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], whole: int = WHOLE) -> DataFrame:
-    """(a, b) of buckets of more than ``whole`` members. ``payload``: (id, ...); ``check`` returns positions, in two blocks, of the pairs that hold."""
+def in_blocks(members: DataFrame, sizes: DataFrame, payload: DataFrame, check: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, whole: int = WHOLE) -> DataFrame:
+    """What ``check`` gives for each two blocks of a bucket of more than ``whole`` members. ``payload``: (id, ...); a block also meets itself."""
     big = sizes.where(f"n > {whole}").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     at = members.join(big, "key").withColumn("blk", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
     # block k meets every block: as the lower of the two, or the upper
@@ -48,10 +48,18 @@ def large_bucket_pairs(members: DataFrame, sizes: DataFrame, payload: DataFrame,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
         left = pdf[pdf["blk"] == p].reset_index(drop=True)
-        right = left if p == q else pdf[pdf["blk"] == q].reset_index(drop=True)
+        return check(left, left if p == q else pdf[pdf["blk"] == q].reset_index(drop=True))
+
+    return full.groupBy("key", "p", "q").applyInPandas(run, schema)
+
+
+def large_bucket_pairs(members: DataFrame, sizes: DataFrame, payload: DataFrame, check: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], whole: int = WHOLE) -> DataFrame:
+    """(a, b), a < b, of buckets of more than ``whole`` members; ``check`` returns positions, in two blocks, of the pairs that hold."""
+
+    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         i, j = check(left, right)
         x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = x < y if p == q else x != y
+        keep = x < y if left is right else x != y
         return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
 
-    return full.groupBy("key", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct()
+    return in_blocks(members, sizes, payload, pairs, "a bigint, b bigint", whole).distinct()

@@ -1,9 +1,12 @@
 """New batches against all history: same page address or same headline.
 
-The state is three tables that only grow: addresses and headlines with their first record, and
-keys of the headlines' telling words, partitioned by hash. A batch looks up its addresses and
-headlines, probes the key partitions with its own keys, compares the headlines that share a
-key, and appends what is new; the history's texts are never read again.
+The state is a folder that can be closed and opened again: three tables that only grow, cut into
+buckets by hash and sorted inside them, the list of common words its keys were made with, and a
+mark for each batch taken in. A headline's signature is the least hashes of its telling words;
+each pair of signature entries, with the figures and months, is a band key. A batch shuffles its
+own keys to the buckets and meets the held keys there; of the history only the buckets met are
+read and nothing is shuffled. Headlines that share a key are compared in full, and what is new is
+appended.
 """
 
 from __future__ import annotations
@@ -16,45 +19,38 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.buckets import WHOLE, large_bucket_pairs, small_bucket_pairs
+from tidemark.llm.buckets import WHOLE, in_blocks, small_bucket_pairs
 from tidemark.operators.outlets import url_host
-from tidemark.session import bounded, durable, new_path, release
+from tidemark.session import durable, folder_names, make_folder, new_path, release, shuffle_width
 
-PARTITIONS = 64
-#: A word in at least this share of the distinct headlines, and in so many of them, says little about which story it is.
-#: There are at most mean length / share such words.
+#: A word in at least this share of the first batch's distinct headlines, and in so many of them, says little about which story it is.
+#: There are at most mean length / share such words. The list is stored: it decides which keys are made, not what is the same.
 COMMON, COMMON_LEAST = 0.002, 30
-#: Keys or headlines up to which they are broadcast to look up others; beyond, both sides are shuffled.
-PROBE_ROWS = 1_000_000
-#: A delivery with fewer than one new key for so many held ones picks out the held keys it meets; a larger one meets most of them anyway.
-SMALL = 8
 #: Word changes allowed besides spelling slips, and the part of a headline that a cut one must keep.
 SWAPS, KEEP = 2, 0.6
-#: Words that may differ at all, spelling slips included.
-CHANGES = 4
 #: Words on either side that may differ where two headlines share less than two telling words, and common words that stand in if they share none.
 EDITS, REST = 2, 6
-#: Telling words whose pairs are keys: two, and as many as one headline may have that the other has not.
-PAIR_WORDS = 2 + CHANGES + SWAPS
+#: Entries of the signature. Two headlines that share two telling words, and have at most SIGNATURE - 2 others each, share a pair of entries.
+SIGNATURE = 8
 #: Word hashes after all others, for headlines of few common words.
 BLANKS = [(1 << 64) - 1 - k for k in reversed(range(REST + EDITS))]
-#: Headlines up to which the texts of candidate pairs are broadcast (some 40 MB); beyond, pairs and texts are shuffled.
-LINE_ROWS = 250_000
 
 # Query parts that do not select an article, month names, and marks that desks put before a headline.
 TRACKING = r"utm_[a-z_]+|fbclid|gclid|dclid|msclkid|igshid|mc_[ce]id|cmpid|cmp|ref|referrer|src|source|trk|spm|share|amp|outputtype"
 MONTHS = set("january february march april may june july august september october november december".split())
-LABEL = re.compile(r"^\s*[(\[]?\s*(?:exclusive|breaking(?: news)?|update(?:d)?(?: ?\d+)?|wrap ?up(?: ?\d+)?|refile|correct(?:ion|ed)|corrected|recap|live|watch|video|factbox|rpt)\s*[)\]]?\s*(?:[:\-–—|]+|(?<=[)\]]))\s*", re.I)
+LABEL = re.compile(r"\s*[(\[]?\s*(?:exclusive|breaking(?: news)?|update(?:d)?(?: ?\d+)?|wrap ?up(?: ?\d+)?|refile|correct(?:ion|ed)|corrected|recap|live|watch|video|factbox|rpt)\s*[)\]]?\s*(?:[:\-–—|]+|(?<=[)\]]))\s*", re.I)
 TRAILER = re.compile(r"\s*[(\[](?:video|audio|photos?|pictures|live|update[d]?|graphic|podcast)[)\]]\s*$", re.I)
 OUTLET = re.compile(r"\s+(?:-|–|—|\||::|»)\s+[^\-–—|:]{3,40}$")
 CUT = re.compile(r"\s*(?:…|\.\.\.)\s*$")
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?")
+QUOTES = "\"“”„'‘’«» "
 
 
 def address_key(url: Column) -> Column:
@@ -69,20 +65,24 @@ def address_key(url: Column) -> Column:
 
 def clean(title: str) -> tuple[str, bool]:
     """Headline without mark-up, desk marks, outlet and quotes; whether it was cut."""
-    t = unicodedata.normalize("NFKC", html.unescape(title)).strip()
-    t = TRAILER.sub("", t)
-    short = OUTLET.sub("", t)
-    if len(TOKEN.findall(short)) >= 4:
+    t = html.unescape(title) if "&" in title else title
+    t = (t if t.isascii() else unicodedata.normalize("NFKC", t)).strip()
+    if t[-1:] in (")", "]"):
+        t = TRAILER.sub("", t)
+    short = OUTLET.sub("", t) if any(c in t for c in "-–—|:»") else t
+    if short != t and len(TOKEN.findall(short)) >= 4:
         t = short
-    t = TRAILER.sub("", t).strip("\"“”„'‘’«» ")
+    t = (TRAILER.sub("", t) if t[-1:] in (")", "]") else t).strip(QUOTES)
     for _ in range(2):
-        bare = LABEL.sub("", t)
-        if len(TOKEN.findall(bare)) < 4:
+        mark = LABEL.match(t)
+        if not mark or len(TOKEN.findall(t, mark.end())) < 4:
             break
-        t = bare
-    t = t.strip("\"“”„'‘’«» ")
-    cut = bool(CUT.search(t))
-    return CUT.sub("", t), cut
+        t = t[mark.end() :]
+    t = t.strip(QUOTES)
+    if t[-1:] in ("…", "."):
+        whole = CUT.sub("", t)
+        return whole, whole != t
+    return t, False
 
 
 def words(title: str) -> tuple[list[str], str, bool]:
@@ -91,23 +91,22 @@ def words(title: str) -> tuple[list[str], str, bool]:
     toks = TOKEN.findall(t)
     inner = [x for x in toks[1:] if x[0].isalpha()]
     big = sum(x[0].isupper() for x in inner)
-    flat = t.upper() == t or t.lower() == t or (len(inner) >= 3 and big >= 0.8 * len(inner))
-    kinds = []
-    for k, x in enumerate(toks):
-        low = x.lower()
+    flat = (len(inner) >= 3 and big >= 0.8 * len(inner)) or t.upper() == t or t.lower() == t
+    kinds, low = [], [x.lower() for x in toks]
+    for k, (x, y) in enumerate(zip(toks, low)):
         if x[0].isdigit():
             kinds.append("n")
-        elif low in MONTHS and (low != "may" or flat or x[0].isupper()):
+        elif y in MONTHS and (y != "may" or flat or x[0].isupper()):
             kinds.append("m")
         elif flat or k == 0:
             kinds.append("?")
         else:
             kinds.append("N" if x[0].isupper() else "w")
-    return [x.lower() for x in toks], "".join(kinds), cut
+    return low, "".join(kinds), cut
 
 
 def slip(a: str, b: str) -> bool:
-    """One spelling slip apart: two neighbours swapped, a letter lost or doubled in, or, in long words, one replaced."""
+    """One spelling slip apart: two neighbours swapped, or a letter lost or put in."""
     if a == b:
         return True
     if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 3:
@@ -122,6 +121,7 @@ def slip(a: str, b: str) -> bool:
 
 
 def replaced(a: str, b: str) -> bool:
+    """One letter put for another in a long word."""
     return len(a) == len(b) >= 5 and sum(x != y for x, y in zip(a, b)) == 1
 
 
@@ -130,9 +130,7 @@ def _differ(x: str, kx: str, y: str, ky: str) -> int | None:
     if x == y:
         return 0
     kinds = {kx, ky}
-    if kinds & {"n", "m"} or kinds == {"N"}:
-        return None
-    if "N" in kinds:
+    if kinds & {"n", "m", "N"}:
         return None
     if slip(x, y):
         return 0
@@ -141,52 +139,53 @@ def _differ(x: str, kx: str, y: str, ky: str) -> int | None:
     return None
 
 
-def same_headline(a: tuple[list[str], str, bool], b: tuple[list[str], str, bool]) -> bool:
-    """Whether two headlines differ only by small edits; another name, figure or month makes another headline."""
+Line = tuple[list[str], str, bool]
+
+
+def same_headline(a: Line, b: Line) -> bool:
+    """Whether two headlines differ only by small edits; another name, figure or month makes another headline.
+
+    Spelling slips cost nothing, a plain word put for another, lost or put in costs 1, and SWAPS are allowed. The answer
+    is the same whichever headline comes first.
+    """
     (x, kx, cx), (y, ky, cy) = a, b
     if cx != cy:
         if cy:
-            (x, kx, cx), (y, ky, cy) = (y, ky, cy), (x, kx, cx)
+            (x, kx), (y, ky) = (y, ky), (x, kx)
         # x is the cut one: what it lost is no difference, but it must keep enough
         if len(x) < max(3, KEEP * len(y)):
             return False
         if len(y) > len(x):
-            last = x[-1] if x else ""
-            whole = y[len(x) - 1] if len(x) <= len(y) else ""
+            last, whole = x[-1], y[len(x) - 1]
             if last != whole and whole.startswith(last):
                 x = [*x[:-1], whole]
             y, ky = y[: len(x)], ky[: len(x)]
-    i = 0
-    while i < min(len(x), len(y)) and x[i] == y[i]:
-        i += 1
-    j = 0
-    while j < min(len(x), len(y)) - i and x[-1 - j] == y[-1 - j]:
-        j += 1
-    x, kx, y, ky = x[i : len(x) - j], kx[i : len(kx) - j], y[i : len(y) - j], ky[i : len(ky) - j]
-    if not x and not y:
+    # names joined or parted, words run together
+    if x == y or "".join(x) == "".join(y):
         return True
     if abs(len(x) - len(y)) > SWAPS:
         return False
-    in_y = set(y)
-    if sum(w not in in_y for w in x) > CHANGES and "".join(x) != "".join(y):
-        return False
-    # least cost of turning the differing middle of one into the other's; a word lost or put in costs 1, so the way stays within SWAPS of the diagonal
-    inf = 99
-    gap = lambda k: 1 if k == "w" else inf
+    # least cost of turning one into the other; a way within the limit stays within SWAPS of the diagonal, and a row beyond it ends the search
+    inf = SWAPS + 1
+    gap = [1 if k == "w" else inf for k in ky]
     row = [0]
-    for k in ky:
-        row.append(min(inf, row[-1] + gap(k)))
+    for g in gap[:SWAPS]:
+        row.append(row[-1] + g)
+    row += [inf] * (len(y) + 1 - len(row))
     for i, (p, kp) in enumerate(zip(x, kx)):
+        own = 1 if kp == "w" else inf
         new = [inf] * (len(y) + 1)
-        new[0] = min(inf, row[0] + gap(kp))
+        if i < SWAPS:
+            new[0] = row[0] + own
         for q in range(max(0, i - SWAPS), min(len(y), i + SWAPS + 1)):
-            d = _differ(p, kp, y[q], ky[q])
-            new[q + 1] = min(row[q] + (inf if d is None else d), row[q + 1] + gap(kp), new[q] + gap(ky[q]))
+            least = min(row[q + 1] + own, new[q] + gap[q])
+            if row[q] < least and (d := _differ(p, kp, y[q], ky[q])) is not None:
+                least = min(least, row[q] + d)
+            new[q + 1] = least
         row = new
-    if row[-1] <= SWAPS:
-        return True
-    # names joined or parted ("a-b" is two words already), words run together
-    return "".join(x) == "".join(y)
+        if min(row) > SWAPS:
+            return False
+    return row[-1] <= SWAPS
 
 
 @lru_cache(maxsize=200_000)
@@ -208,161 +207,233 @@ def _mixed(rows: list[tuple[int, ...]], words: int) -> np.ndarray:
 def _word_sets(toks: list[str], common: frozenset[str]) -> Iterator[tuple[int, ...]]:
     """Sets of word hashes of which two headlines share one if they share two telling words, or are at most EDITS words apart on either side.
 
-    Words in order of hash: the least k of those that two headlines share are among the first k + e of either, where e
-    words of it are not shared. So pairs of the first telling words are enough, however many there are. Headlines that
-    share one telling word, or none, have few of them, all others being edited; what is left of EDITS bounds the edits of
-    the common words that stand in for them. Blanks stand in where those are few.
+    The least k of the words that two headlines share are among the first k + e of either, where e words of it are not
+    shared; so pairs of the signature's entries are enough. A cut headline may have lost more than that, but nothing at
+    its beginning, so a headline of more telling words has pairs of its first ones too. Headlines that share one telling
+    word, or none, have few of them, all others being edited; what is left of EDITS bounds the edits of the common words
+    that stand in for them, in order of place. Blanks stand in where those are few.
     """
-    tell = sorted(_hash(w) for w in set(toks) - common)
-    rest = sorted(_hash(w) for w in set(toks) & common) + BLANKS
-    t = len(tell)
-    yield from combinations(tell[:PAIR_WORDS], 2)
-    if 1 <= t <= EDITS + 1:
-        for x in combinations(rest[: 2 + EDITS + 1 - t], 2):
-            yield from ((a, *x) for a in tell)
-    if t <= EDITS:
-        yield from combinations(rest[: REST + EDITS - t], REST)
+    told = [_hash(w) for w in dict.fromkeys(toks) if w not in common]
+    t = len(told)
+    if t > 1:
+        pairs = set(combinations(sorted(told)[:SIGNATURE], 2))
+        if t > SIGNATURE:
+            pairs |= {(a, b) if a < b else (b, a) for a, b in combinations(told[:SIGNATURE], 2)}
+        yield from pairs
+    if t <= EDITS + 1:
+        rest = [_hash(w) for w in dict.fromkeys(toks) if w in common] + BLANKS
+        if t:
+            for x in combinations(rest[: 2 + EDITS + 1 - t], 2):
+                x = (x[0], x[1]) if x[0] < x[1] else (x[1], x[0])
+                yield from ((a, *x) for a in told)
+        if t <= EDITS:
+            yield from (tuple(sorted(x)) for x in combinations(rest[: REST + EDITS - t], REST))
+
+
+def _salts(toks: list[str], kinds: str) -> set[str]:
+    """Figures and months of the headline, and of each beginning that a cut version of it may be."""
+    if "n" not in kinds and "m" not in kinds:
+        return {""}
+    least = max(2, ceil(KEEP * len(toks) - 1e-9) - 1)
+    told = [w for w, c in zip(toks[:least], kinds) if c in "nm"]
+    out = {" ".join(sorted(told))}
+    for w, c in zip(toks[least:], kinds[least:]):
+        if c in "nm":
+            told.append(w)
+            out.add(" ".join(sorted(told)))
+    return out
 
 
 def story_keys(lines: list[tuple[list[str], str]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the headline, key) for headlines given as (words, kinds).
-
-    Keys are sets of words (see ``_word_sets``) with the headline's figures and months. One at the very end may be lost
-    where a headline is cut, so such a headline has a second set of keys without it.
-    """
+    """(position of the headline, key) for headlines given as (words, kinds): sets of words (see ``_word_sets``) with the figures and months (see ``_salts``)."""
     rows: dict[int, list[tuple[int, ...]]] = {2: [], 3: [], REST: []}
     owner: dict[int, list[int]] = {n: [] for n in rows}
     for k, (toks, kinds) in enumerate(lines):
         if not toks:
             continue
-        told = " ".join(sorted(w for w, c in zip(toks, kinds) if c in "nm"))
-        held = " ".join(sorted(w for w, c in zip(toks[:-1], kinds[:-1]) if c in "nm"))
-        salts = [_hash(x) for x in {told, held}]
+        salts = [_hash(x) for x in _salts(toks, kinds)]
         for x in _word_sets(toks, common):
-            rows[len(x)] += [(s, *x) for s in salts]
-            owner[len(x)] += [k] * len(salts)
+            n = len(x)
+            for s in salts:
+                rows[n].append((s, *x))
+                owner[n].append(k)
     return np.concatenate([np.array(owner[n], dtype=np.int64) for n in rows]), np.concatenate([_mixed(rows[n], n) for n in rows])
 
 
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got = [words(t) for t in b["title"]]
-        plain = [" ".join(w) + (" …" if c else "") for w, _, c in got]
-        yield pd.DataFrame({"plain": plain, "kinds": [k for _, k, _ in got], "batch": b["batch"], "id": b["id"]})
+        got = [words(t) if t is not None and t.strip() else ([], "", False) for t in b["title"]]
+        plain = [(" ".join(w) + (" …" if c else "")) if w else None for w, _, c in got]
+        yield pd.DataFrame({"id": b["id"], "batch": b["batch"], "address": b["address"], "plain": plain, "kinds": [k for _, k, _ in got]})
 
 
 def _keys(common: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, key = story_keys([_row(p, k)[:2] for p, k in zip(b["plain"], b["kinds"])], common)
-            yield pd.DataFrame({"part": (key % PARTITIONS).astype("int32"), "key": key, "head": b["head"].to_numpy()[at]})
+            yield pd.DataFrame({"key": key, "head": b["head"].to_numpy()[at]})
 
     return run
 
 
-def _row(plain: str, kinds: str) -> tuple[list[str], str, bool]:
+def _row(plain: str, kinds: str) -> Line:
     cut = plain.endswith("…")
     return plain[:-1].split() if cut else plain.split(), kinds, cut
 
 
+#: Headline and the (batch, id) of the first record of one that is the same.
+LINK = "head bigint, plain string, batch bigint, id bigint"
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ok = [same_headline(_row(p, kp), _row(q, kq)) for p, kp, q, kq in zip(b["pa"], b["ka"], b["pb"], b["kb"])]
-        yield b.loc[np.array(ok, dtype=bool), ["a", "b"]]
+        b = b.loc[np.array(ok, dtype=bool)]
+        for x, y in (("a", "b"), ("b", "a")):
+            yield pd.DataFrame({"head": b[x], "plain": b[f"p{x}"], "batch": b[f"t{y}"], "id": b[f"i{y}"]})
 
 
-def _verify_block(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _verify_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Of each headline of either block, the first record of those in the other that are the same: one row each, not all pairs."""
     x = [_row(p, k) for p, k in zip(left["plain"], left["kinds"])]
     y = [_row(p, k) for p, k in zip(right["plain"], right["kinds"])]
-    hits = [(i, j) for i, p in enumerate(x) for j, q in enumerate(y) if same_headline(p, q)]
-    return np.array([i for i, _ in hits], dtype=int), np.array([j for _, j in hits], dtype=int)
+    to, tq = list(zip(left["batch"], left["record"])), list(zip(right["batch"], right["record"]))
+    best: dict[tuple[int, str], tuple[int, int]] = {}
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            if p != q and same_headline(p, q):
+                a, b = (left["id"].iat[i], left["plain"].iat[i]), (right["id"].iat[j], right["plain"].iat[j])
+                best[a] = min(best.get(a, tq[j]), tq[j])
+                best[b] = min(best.get(b, to[i]), to[i])
+    return pd.DataFrame([(h, p, t, r) for (h, p), (t, r) in best.items()], columns=["head", "plain", "batch", "id"])
 
 
-def common_words(titles: DataFrame) -> list[str]:
-    """Words in at least COMMON of all distinct headlines; their number is bounded by mean words / COMMON."""
-    tok = F.array_distinct(F.regexp_extract_all(F.lower(F.col("title")), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    t = titles.where("title is not null").select("title").distinct().select(tok.alias("w"))
-    n = t.count()
-    counts = t.select(F.explode("w").alias("w")).groupBy("w").count().where(F.col("count") >= max(float(COMMON_LEAST), COMMON * n))
-    return sorted(r.w for r in counts.collect())
+def common_words(heads: DataFrame) -> DataFrame:
+    """(word) in at least COMMON of the distinct headlines (plain); their number is bounded by mean words / COMMON."""
+    n = heads.count()
+    w = heads.select(F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+    return w.groupBy("word").count().where(F.col("count") >= max(float(COMMON_LEAST), COMMON * n)).select("word")
 
 
-TABLES = {"addresses": "address string, batch bigint, id bigint", "headlines": "head bigint, plain string, kinds string, batch bigint, id bigint", "keys": "key bigint, head bigint, part int"}
+#: Tables of the state: columns, and the one whose hash tells the bucket.
+TABLES = {
+    "addresses": ("address string, batch bigint, id bigint, attempt int", "address"),
+    "headlines": ("head bigint, plain string, kinds string, batch bigint, id bigint, attempt int", "head"),
+    "keys": ("key bigint, head bigint, attempt int", "key"),
+}
 
 
 @dataclass
 class History:
-    """State folder: per table one sub-folder for each batch taken in, the keys' further split by hash of the key."""
+    """A state folder, new or opened again.
+
+    Rows carry the attempt that wrote them, and an attempt counts only when its mark is there: a batch that was broken off
+    leaves nothing that is read, and is simply given again. ``common`` replaces the list of common words of a new state;
+    ``buckets``, of a new state too, is by default the session's number of shuffle partitions.
+    """
 
     spark: SparkSession
-    common: frozenset[str]
     path: str = ""
-    taken: int = field(default=0)
+    common: frozenset[str] | None = None
+    buckets: int = 0
+    _begun: int = field(default=0, init=False)
+    _broken: list[int] = field(default_factory=list, init=False)
 
     def __post_init__(self) -> None:
         self.path = self.path or new_path(self.spark, "history")
+        begun, done = (folder_names(self.spark, f"{self.path}/{x}") for x in ("begun", "done"))
+        self._begun = len(begun)
+        self._broken = [int(x) for x in begun if x not in set(done)]
+        made = folder_names(self.spark, f"{self.path}/shape")
+        if made:
+            self.buckets = int(made[0])
+        else:
+            self.buckets = self.buckets or shuffle_width(self.spark)
+            make_folder(self.spark, f"{self.path}/shape/{self.buckets}")
+        if folder_names(self.spark, f"{self.path}/common"):
+            self.common = frozenset(r.word for r in self.spark.read.parquet(f"{self.path}/common").collect())
+        elif self.common is not None:
+            self._keep_common(self.spark.createDataFrame([(w,) for w in sorted(self.common)], "word string"))
+        tag = blake2b(self.path.encode(), digest_size=8).hexdigest()
+        self._names = {name: f"history_{tag}_{name}" for name in TABLES}
+        for name, (columns, by) in TABLES.items():
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._names[name]} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.catalog.refreshTable(self._names[name])
+
+    def _keep_common(self, words: DataFrame) -> None:
+        words.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/common")
 
     def _old(self, name: str) -> DataFrame:
-        if not self.taken:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/taken={k}" for k in range(self.taken)]).drop("taken")
+        """What finished batches wrote."""
+        t = self.spark.table(self._names[name]).where(F.col("attempt") < self._begun)
+        return (t.where(~F.col("attempt").isin(self._broken)) if self._broken else t).drop("attempt")
 
-    def _append(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        at = f"{self.path}/{name}/taken={self.taken}"
-        df.write.mode("overwrite").partitionBy(*by).parquet(at)
-        return self.spark.read.schema(TABLES[name]).parquet(at)
+    def _append(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes this attempt's rows, one file per bucket, and reads them back."""
+        by = TABLES[name][1]
+        df.withColumn("attempt", F.lit(self._begun)).repartition(self.buckets, by).write.insertInto(self._names[name])
+        return self.spark.table(self._names[name]).where(F.col("attempt") == self._begun).drop("attempt")
 
     def probe_and_append(self, records: DataFrame) -> DataFrame:
         """(id) of the ``records`` (id, batch, url, title) that bring an article already held; their new keys are appended.
 
         Earlier means smaller batch, or equal batch and smaller id, in the history or among ``records``. Null and blank
         addresses and headlines match nothing; a headline without words neither. Repeated records match the first of
-        them. Batches may come in any order; only the given records are judged. A batch that failed is simply given again.
+        them. Batches may come in any order; only the given records are judged. An empty batch changes nothing. Other
+        columns are ignored.
         """
+        make_folder(self.spark, f"{self.path}/begun/{self._begun:08d}")
         order = F.struct("batch", "id")
         first = F.min(order).alias("f")
-        r = records.withColumn("address", address_key(F.col("url"))).withColumn("title", F.when(F.trim(F.col("title")) != "", F.col("title")))
-        # same address
-        mine = self._append(r.where("address is not null").groupBy("address").agg(first).select("address", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "addresses")
-        held = self._old("addresses").join(mine.select("address"), "address", "left_semi")
-        by_address = mine.unionByName(held).groupBy("address").agg(F.min(order).alias("first"))
-        # headlines: one row per sequence of words; the spelling that tells most of its words' kinds speaks for it
-        prep = r.where("title is not null").select("title", "batch", "id").mapInPandas(_spell, "plain string, kinds string, batch bigint, id bigint")
-        prep = durable(prep.where("plain <> ''").withColumn("head", F.xxhash64("plain")), "spellings")
         told = F.length(F.regexp_replace("kinds", r"\?", ""))
-        heads = prep.groupBy("head", "plain").agg(F.max_by("kinds", told).alias("kinds"), first)
-        heads = self._append(heads.select("head", "plain", "kinds", F.col("f.batch").alias("batch"), F.col("f.id").alias("id")), "headlines")
+        prep = records.select(F.col("id").cast("long"), F.col("batch").cast("long"), address_key(F.col("url")).alias("address"), "title")
+        prep = prep.mapInPandas(_spell, "id bigint, batch bigint, address string, plain string, kinds string")
+        prep = durable(prep.withColumn("head", F.when(F.col("plain").isNotNull(), F.xxhash64("plain"))), "records")
+        # addresses: only those with more than one record, or an earlier one, are looked up again
+        mine = prep.where("address is not null").groupBy("address").agg(first, F.count(F.lit(1)).alias("n"))
+        mine = durable(mine.select("address", "f.*", "n"), "addresses")
+        held = self._old("addresses").join(mine.select("address"), "address", "left_semi").groupBy("address").agg(first.alias("h"))
+        at = mine.join(held, "address", "left").withColumn("o", F.least(order, F.coalesce("h", order))).where((F.col("n") > 1) | (F.col("h") < order))
+        at = durable(at.select("address", "o"), "met")
+        self._append(mine.drop("n"), "addresses")
+        # headlines: one row per sequence of words; the spelling that tells most of its words' kinds speaks for it
+        heads = prep.where("plain is not null").groupBy("head", "plain").agg(F.max_by("kinds", told).alias("kinds"), first, F.count(F.lit(1)).alias("n"))
+        heads = durable(heads.select("head", "plain", "kinds", "f.*", "n"), "heads")
+        if self.common is None:
+            found = common_words(heads)
+            self.common = frozenset(r.word for r in found.collect())
+            if self.common:
+                self._keep_common(self.spark.createDataFrame([(w,) for w in sorted(self.common)], "word string"))
         before = self._old("headlines")
-        fresh = heads.join(before.select("head"), "head", "left_anti") if self.taken else heads
-        keys = self._append(fresh.select("head", "plain", "kinds").mapInPandas(_keys(self.common), "part int, key bigint, head bigint"), "keys", "part")
-        met = self._old("keys")
-        if self.taken and keys.count() * SMALL < met.count():
-            # only the held keys that the new ones meet, from the partitions they fall in
-            met = met.join(bounded(keys.select("part", "key").distinct(), PROBE_ROWS), ["part", "key"], "left_semi")
-        members = keys.select("key", F.col("head").alias("id"), F.lit(1).alias("new")).unionByName(met.select("key", F.col("head").alias("id"), F.lit(0).alias("new")))
-        counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("new").alias("new")).where("n > 1 and new = 1")
-        counted = durable(counted.drop("new"), "counted")
-        members = members.select("key", "id")
-        # two members are the pair itself; only larger buckets are looked up again
+        known = before.join(heads.select("head", F.col("plain").alias("p")), "head").where("plain = p").groupBy("head", "plain").agg(first.alias("h"), F.max(told).alias("t"))
+        heads = durable(heads.join(known, ["head", "plain"], "left"), "known")
+        fresh = heads.where("h is null")
+        self._append(heads.where(F.col("h").isNull() | (order < F.col("h")) | (told > F.col("t"))).select("head", "plain", "kinds", "batch", "id"), "headlines")
+        keys = self._append(fresh.select("head", "plain", "kinds").mapInPandas(_keys(self.common), "key bigint, head bigint"), "keys").distinct()
+        # the held keys of the buckets that the new ones meet; both sides lie in buckets by key, so nothing is shuffled here
+        own = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("a"), F.max("head").alias("b"))
+        met = self._old("keys").join(own.select("key"), "key", "left_semi").distinct()
+        held = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("head").alias("c"), F.max("head").alias("d"))
+        n = F.col("n") + F.coalesce("m", F.lit(0))
+        counted = durable(own.join(held, "key", "left").where(n > 1).select("key", n.alias("n"), F.least("a", "c").alias("a"), F.greatest("b", "d").alias("b")), "counted")
+        # two members are the pair itself; only larger groups are looked up again
         sizes = counted.where("n > 2").select("key", "n")
-        some = durable(members.join(bounded(sizes.select("key"), PROBE_ROWS), "key", "left_semi"), "members")
+        some = durable(keys.join(sizes.select("key"), "key", "left_semi").unionByName(met.join(sizes.select("key"), "key", "left_semi")).select("key", F.col("head").alias("id")).distinct(), "members")
         pairs = durable(counted.where("n = 2 and a <> b").select("a", "b").unionByName(small_bucket_pairs(some, sizes)).distinct(), "pairs")
-        big = sizes.where(f"n > {WHOLE}")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("head")).unionByName(some.join(big.select("key"), "key", "left_semi").select(F.col("id").alias("head"))).distinct()
-        lines = heads.unionByName(before).join(bounded(need, PROBE_ROWS), "head", "left_semi")
-        lines = durable(lines.groupBy("head").agg(F.max_by(F.struct("plain", "kinds"), told).alias("k"), F.min(order).alias("first")).select("head", "k.*", "first"), "lines")
-        text = lambda c: bounded(lines.select(F.col("head").alias(c), F.col("plain").alias(f"p{c}"), F.col("kinds").alias(f"k{c}")), LINE_ROWS)
-        good = pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify, "a bigint, b bigint")
-        more = large_bucket_pairs(some, sizes, lines.select(F.col("head").alias("id"), "plain", "kinds"), _verify_block)
-        links = durable(good.unionByName(more).distinct(), "links")
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(lines.select(F.col("head").alias("b"), "first"), "b").groupBy(F.col("a").alias("head")).agg(F.min("first").alias("near"))
-        own = heads.select("head", order.alias("o")).unionByName(before.join(heads.select("head"), "head", "left_semi").select("head", order.alias("o")))
-        by_head = own.unionByName(near.select("head", F.col("near").alias("o"))).groupBy("head").agg(F.min("o").alias("first_h"))
+        lines = self.spark.table(self._names["headlines"])
+        lines = (lines.where(~F.col("attempt").isin(self._broken)) if self._broken else lines).where(F.col("attempt") <= self._begun)
+        line = lambda c: lines.select(F.col("head").alias(c), F.col("plain").alias(f"p{c}"), F.col("kinds").alias(f"k{c}"), F.col("batch").alias(f"t{c}"), F.col("id").alias(f"i{c}"))
+        near = pairs.join(line("a"), "a").join(line("b"), "b").mapInPandas(_verify, LINK)
+        hot = some.join(sizes.where(f"n > {WHOLE}").select("key"), "key", "left_semi").select(F.col("id").alias("head")).distinct()
+        payload = lines.join(hot, "head").groupBy(F.col("head").alias("id"), "plain").agg(F.max_by("kinds", told).alias("kinds"), first).select("id", "plain", "kinds", F.col("f.batch").alias("batch"), F.col("f.id").alias("record"))
+        near = near.unionByName(in_blocks(some, sizes, payload, _verify_block, LINK))
+        near = durable(near.groupBy("head", "plain").agg(F.min(F.struct("batch", "id")).alias("near")), "near")
+        heads = heads.join(near, ["head", "plain"], "left").withColumn("o", F.least("h", "near", order)).where((F.col("n") > 1) | (F.col("o") < order))
         me = F.struct("batch", "id")
-        again = r.where("address is not null").select("id", "batch", "address").join(by_address, "address").where(me > F.col("first")).select("id")
-        told_before = prep.select("id", "batch", "head").join(by_head, "head").where(me > F.col("first_h")).select("id")
-        found = durable(again.unionByName(told_before).distinct(), "found")
-        self.taken += 1
-        release(prep, counted, some, pairs, lines, links)
-        return found
+        again = prep.where("address is not null").select("id", "batch", "address").join(at, "address").where(me > F.col("o")).select("id")
+        said = prep.where("plain is not null").select("id", "batch", "head", "plain").join(heads.select("head", "plain", "o"), ["head", "plain"]).where(me > F.col("o")).select("id")
+        out = durable(again.unionByName(said).distinct(), "found")
+        make_folder(self.spark, f"{self.path}/done/{self._begun:08d}")
+        self._begun += 1
+        release(prep, mine, at, counted, some, pairs, near)
+        return out

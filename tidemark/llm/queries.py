@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import residue
 from tidemark.llm.capping import CapState, latest_quality, load_caps, merge_delivery
 from tidemark.llm.encoding import encode_documents, token_counts
-from tidemark.llm.history import History, common_words
+from tidemark.llm.history import History
 from tidemark.llm.mixture import mix
 from tidemark.llm.neardup import Groups, Plan, classes, expanded, near_duplicates
 from tidemark.operators.outlets import with_outlet
@@ -42,14 +44,19 @@ def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(spark, sf_dir).cutoffs.select("load", "contributor", "kept_n", "cut_q", "cut_id")
 
 
+#: Shares of the loads after which a delivery ends: the first makes the history, the others are checked against it.
+P3_DELIVERIES = [0.5, 0.75]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id): records that bring an article already held. The first half of the loads makes the history, the rest is a new delivery."""
+    """(item_id): records that bring an article already held, found load after load by one state."""
     news = table(spark, sf_dir, "sample_news_items").select(F.col("item_id").alias("id"), F.col("batch_no").cast("long").alias("batch"), F.col("source_url").alias("url"), "title")
-    middle = news.agg(F.floor(F.avg("batch"))).first()[0] or 0
-    history = History(spark, frozenset(common_words(news)))
-    early = history.probe_and_append(news.where(F.coalesce(F.col("batch") <= middle, F.lit(True))))
-    late = history.probe_and_append(news.where(F.col("batch") > middle))
-    return early.unionByName(late).select(F.col("id").alias("item_id"))
+    ends = news.agg(F.percentile_approx("batch", P3_DELIVERIES)).first()[0] or [0] * len(P3_DELIVERIES)
+    history, b, found = History(spark), F.coalesce("batch", F.lit(ends[0])), []
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = news if low is None else news.where(b > low)
+        found.append(history.probe_and_append(part if high is None else part.where(b <= high)))
+    return reduce(DataFrame.unionByName, found).select(F.col("id").alias("item_id"))
 
 
 #: Three words, half in common, fifty words at least; finds a pair at the threshold with probability 0.955, at 0.6 with 0.9985.
