@@ -1,7 +1,8 @@
+import os
 import random
 from collections import defaultdict
 
-from tidemark.llm.capping import latest_quality, load_caps, merge_delivery
+from tidemark.llm.capping import CapState, latest_quality, load_caps
 
 SCHEMA = "load long, contributor int, record_id long, quality double"
 
@@ -22,23 +23,33 @@ def test_any_split_into_deliveries_ends_the_same(spark):
     cdf = spark.createDataFrame(list(caps.items()), "load long, cap long")
     want = kept_by_brute(rows, caps)
     for cuts in ([0, 400], [0, 130, 131, 400]):
-        state = None
+        state = CapState(spark)
         for a, b in zip(cuts, cuts[1:]):
-            state = merge_delivery(state, spark.createDataFrame(rows[a:b], SCHEMA), cdf)
-        kept = {r.record_id for r in state.kept.collect()}
-        gone = [r.record_id for r in state.log.collect()]
+            # every delivery opens the state again
+            state = CapState(spark, state.path)
+            state.merge(spark.createDataFrame(rows[a:b], SCHEMA), cdf)
+        kept = {r.record_id for r in state.kept().collect()}
+        gone = [r.record_id for r in state.log().collect()]
         assert kept == want
         assert sorted(gone) == sorted({r[2] for r in rows if r[1] is not None} - want)
-        cut = {(r.load, r.contributor): r.kept_n for r in state.cutoffs.collect()}
+        cut = {(r.load, r.contributor): r.kept_n for r in state.cutoffs().collect()}
         assert all(n <= caps[k[0]] for k, n in cut.items())
 
 
-def test_empty_delivery(spark):
-    caps = spark.createDataFrame([(1, 2)], "load long, cap long")
-    s = merge_delivery(None, spark.createDataFrame([], SCHEMA), caps)
-    s = merge_delivery(s, spark.createDataFrame([(1, 1, 5, 0.5)], SCHEMA), caps)
-    s = merge_delivery(s, spark.createDataFrame([], SCHEMA), caps)
-    assert [r.record_id for r in s.kept.collect()] == [5] and s.log.count() == 0
+def test_empty_and_broken_deliveries(spark):
+    caps = spark.createDataFrame([(1, 2), (2, 1)], "load long, cap long")
+    s = CapState(spark)
+    s.merge(spark.createDataFrame([], SCHEMA), caps)
+    s.merge(spark.createDataFrame([(1, 1, 5, 0.5)], SCHEMA), caps)
+    s.merge(spark.createDataFrame([], SCHEMA), caps)
+    assert [r.record_id for r in s.kept().collect()] == [5] and s.log().count() == 0
+    # a delivery that never came to its end is not read, and is given again
+    s.merge(spark.createDataFrame([(1, 1, 6, 0.9), (1, 1, 7, 0.7), (2, 1, 8, 0.1)], SCHEMA), caps)
+    os.rmdir(f"{s.path}/done/00000003")
+    again = CapState(spark, s.path)
+    assert {r.record_id for r in again.kept().collect()} == {5}
+    again.merge(spark.createDataFrame([(1, 1, 6, 0.9), (1, 1, 7, 0.7), (2, 1, 8, 0.1)], SCHEMA), caps)
+    assert {r.record_id for r in again.kept().collect()} == {6, 7, 8} and [r.record_id for r in again.log().collect()] == [5]
 
 
 def test_caps_and_quality(spark):

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.attempts import Attempts
 from tidemark.llm.buckets import WHOLE, in_blocks, small_bucket_pairs
 from tidemark.operators.outlets import url_host
 from tidemark.session import durable, folder_names, make_folder, new_path, release, shuffle_width
@@ -336,14 +337,11 @@ class History:
     path: str = ""
     common: frozenset[str] | None = None
     buckets: int = 0
-    _begun: int = field(default=0, init=False)
-    _broken: list[int] = field(default_factory=list, init=False)
+    _attempts: Attempts = field(init=False)
 
     def __post_init__(self) -> None:
         self.path = self.path or new_path(self.spark, "history")
-        begun, done = (folder_names(self.spark, f"{self.path}/{x}") for x in ("begun", "done"))
-        self._begun = len(begun)
-        self._broken = [int(x) for x in begun if x not in set(done)]
+        self._attempts = Attempts(self.spark, self.path)
         made = folder_names(self.spark, f"{self.path}/shape")
         if made:
             self.buckets = int(made[0])
@@ -365,14 +363,13 @@ class History:
 
     def _old(self, name: str) -> DataFrame:
         """What finished batches wrote."""
-        t = self.spark.table(self._names[name]).where(F.col("attempt") < self._begun)
-        return (t.where(~F.col("attempt").isin(self._broken)) if self._broken else t).drop("attempt")
+        return self.spark.table(self._names[name]).where(self._attempts.done()).drop("attempt")
 
     def _append(self, df: DataFrame, name: str) -> DataFrame:
         """Writes this attempt's rows, one file per bucket, and reads them back."""
         by = TABLES[name][1]
-        df.withColumn("attempt", F.lit(self._begun)).repartition(self.buckets, by).write.insertInto(self._names[name])
-        return self.spark.table(self._names[name]).where(F.col("attempt") == self._begun).drop("attempt")
+        df.withColumn("attempt", F.lit(self._attempts.number)).repartition(self.buckets, by).write.insertInto(self._names[name])
+        return self.spark.table(self._names[name]).where(F.col("attempt") == self._attempts.number).drop("attempt")
 
     def probe_and_append(self, records: DataFrame) -> DataFrame:
         """(id) of the ``records`` (id, batch, url, title) that bring an article already held; their new keys are appended.
@@ -382,7 +379,7 @@ class History:
         them. Batches may come in any order; only the given records are judged. An empty batch changes nothing. Other
         columns are ignored.
         """
-        make_folder(self.spark, f"{self.path}/begun/{self._begun:08d}")
+        self._attempts.begin()
         order = F.struct("batch", "id")
         first = F.min(order).alias("f")
         told = F.length(F.regexp_replace("kinds", r"\?", ""))
@@ -420,8 +417,7 @@ class History:
         sizes = counted.where("n > 2").select("key", "n")
         some = durable(keys.join(sizes.select("key"), "key", "left_semi").unionByName(met.join(sizes.select("key"), "key", "left_semi")).select("key", F.col("head").alias("id")).distinct(), "members")
         pairs = durable(counted.where("n = 2 and a <> b").select("a", "b").unionByName(small_bucket_pairs(some, sizes)).distinct(), "pairs")
-        lines = self.spark.table(self._names["headlines"])
-        lines = (lines.where(~F.col("attempt").isin(self._broken)) if self._broken else lines).where(F.col("attempt") <= self._begun)
+        lines = self.spark.table(self._names["headlines"]).where(self._attempts.done(also_now=True))
         line = lambda c: lines.select(F.col("head").alias(c), F.col("plain").alias(f"p{c}"), F.col("kinds").alias(f"k{c}"), F.col("batch").alias(f"t{c}"), F.col("id").alias(f"i{c}"))
         near = pairs.join(line("a"), "a").join(line("b"), "b").mapInPandas(_verify, LINK)
         hot = some.join(sizes.where(f"n > {WHOLE}").select("key"), "key", "left_semi").select(F.col("id").alias("head")).distinct()
@@ -433,7 +429,6 @@ class History:
         again = prep.where("address is not null").select("id", "batch", "address").join(at, "address").where(me > F.col("o")).select("id")
         said = prep.where("plain is not null").select("id", "batch", "head", "plain").join(heads.select("head", "plain", "o"), ["head", "plain"]).where(me > F.col("o")).select("id")
         out = durable(again.unionByName(said).distinct(), "found")
-        make_folder(self.spark, f"{self.path}/done/{self._begun:08d}")
-        self._begun += 1
+        self._attempts.finish()
         release(prep, mine, at, counted, some, pairs, near)
         return out

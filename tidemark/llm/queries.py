@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import residue
-from tidemark.llm.capping import CapState, latest_quality, load_caps, merge_delivery
+from tidemark.llm.capping import CapState, latest_quality, load_caps
 from tidemark.llm.encoding import encode_documents, token_counts
 from tidemark.llm.history import History
 from tidemark.llm.mixture import mix
 from tidemark.llm.neardup import Groups, Plan, classes, expanded, near_duplicates
 from tidemark.operators.outlets import with_outlet
-from tidemark.session import durable, table
+from tidemark.session import durable, release, table
 
 #: Rows of a load per record that an outlet may keep.
 CAP_SHARE = 25
@@ -24,24 +24,24 @@ FIRST_PROVIDERS = ["gdelt", "finnhub"]
 
 def capped(spark: SparkSession, sf_dir: str) -> CapState:
     news = table(spark, sf_dir, "sample_news_items").select("item_id", "batch_no", "source", "source_url", "provider")
-    caps = load_caps(news, "batch_no", CAP_SHARE)
-    caps = durable(caps, "caps")
+    caps = durable(load_caps(news, "batch_no", CAP_SHARE), "caps")
     rated = with_outlet(news, table(spark, sf_dir, "news_sources")).join(latest_quality(table(spark, sf_dir, "news_score_report")).withColumnRenamed("record_id", "item_id"), "item_id", "left")
     feed = durable(rated.where("_outlet is not null").select(F.col("batch_no").alias("load"), F.col("_outlet").alias("contributor"), F.col("item_id").alias("record_id"), "quality", F.coalesce(F.col("provider").isin(FIRST_PROVIDERS), F.lit(False)).alias("first")), "feed")
-    state = None
+    state = CapState(spark)
     for part in ("first", "not first"):
-        state = merge_delivery(state, feed.where(part).drop("first"), caps)
+        state.merge(feed.where(part).drop("first"), caps)
+    release(feed, caps)
     return state
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id): records to drop, from the log of displaced and rejected ones."""
-    return capped(spark, sf_dir).log.select(F.col("record_id").alias("item_id"))
+    return capped(spark, sf_dir).log().select(F.col("record_id").alias("item_id"))
 
 
 def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(load, contributor, kept_n, cut_q, cut_id): the state's cutoffs after all loads."""
-    return capped(spark, sf_dir).cutoffs.select("load", "contributor", "kept_n", "cut_q", "cut_id")
+    return capped(spark, sf_dir).cutoffs()
 
 
 #: Shares of the loads after which a delivery ends: the first makes the history, the others are checked against it.
@@ -136,5 +136,9 @@ r AS (SELECT n.item_id, cap, row_number() OVER (PARTITION BY n.batch_no, sid ORD
 SELECT item_id FROM r WHERE k > cap
 """
 
+P1_STATE_SQL = P1_SQL[: P1_SQL.index("SELECT item_id FROM r")].replace("SELECT n.item_id, cap,", "SELECT n.item_id, n.batch_no, sid, avg_confidence, cap,") + """
+SELECT batch_no AS load, sid::BIGINT AS contributor, count(*) AS kept_n, max_by(avg_confidence, k) AS cut_q, max_by(item_id, k) AS cut_id FROM r WHERE k <= cap GROUP BY 1, 2
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p3_found": p3_found, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
-SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL}
+SQL = {"p1_found": P1_SQL, "p1_state": P1_STATE_SQL, "p5_found": P5_SQL}
