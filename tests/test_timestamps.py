@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidemark.operators.timestamps import best_path, normalise, readings
@@ -18,7 +20,8 @@ NY = "America/New_York"
     ],
 )
 def test_one_instant(text, zone, order, want):
-    assert [r[1] for r in readings(text, zone, order)] == [want]
+    got = readings(text, zone, order)
+    assert got[0][1:] == (want, 0.0) and all(r[2] > 0 for r in got[1:])
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "unknown", "--", "N/A", "25:61", "2024-06-31", "2025-02-30 10:15:00", "0000-00-00 00:00:00", "2025-13-04T08:00:00Z", "2025-04-12T27:30:00Z", "yesterday", "13/13/2025", "x" * 5000])
@@ -35,6 +38,23 @@ def test_path_follows_order_and_format(spark):
     assert best_path([[("a", 0, 0.0)], [("b", 10, 0.0), ("a", 10, 0.0)]]) == [0, 1]
 
 
+def test_stretches_equal_one_path(spark):
+    """Cut at its anchors a source gives what one path through all its records gives."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(600):
+        m, d, h = 1 + k // 60, 1 + (k // 3) % 20, rnd.randint(0, 23)
+        text = rnd.choice([f"{m:02}/{d:02}/2026 {h:02}:00", f"{d:02}/{m:02}/2026 {h:02}:00", f"2026-{m:02}-{d:02}T{h:02}:00:00Z", "no time", f"{m:02}/{d:02}/2026"])
+        rows.append((k, text, rnd.choice(["a", "a", "b"]), rnd.choice(["mdy", None, None])))
+    df = spark.createDataFrame(rows, "id long, text string, src string, ord string").selectExpr("*", "'UTC' as zone")
+    got = {r.id: r.utc_us for r in normalise(df, "id", "text", "src", "zone", "ord").collect()}
+    want = {}
+    for src in "ab":
+        own = [(k, o) for k, t, s, order in rows if s == src and (o := readings(t, "UTC", order))]
+        want |= {k: o[x][1] for (k, o), x in zip(own, best_path([o for _, o in own]))}
+    assert got == want and len({len(o) for _, o in own}) > 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, text string, src string, zone string, ord string")
     assert normalise(df, "id", "text", "src", "zone", "ord").collect() == []

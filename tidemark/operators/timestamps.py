@@ -1,8 +1,11 @@
 """Text timestamps of many kinds to one UTC instant.
 
-Every value yields all its valid interpretations (format, microseconds). Where there are several,
-the path of least cost through a source's records in order (Viterbi) chooses: a change of format
-costs, and so does a step back in time. Values with one interpretation are anchors on that path.
+Every value yields all its valid interpretations as an array of (format, microseconds, cost): both
+orders of day and month, seconds and milliseconds, both instants of a local time that occurs twice.
+The path of least cost through a source's records in order (Viterbi) chooses: a change of format
+costs, a step back in time does, and so does a reading that the source's register entry speaks
+against. Values with one interpretation are anchors: the path falls apart there, so the stretches
+between anchors are decoded each on its own, exactly, wherever they lie.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ from datetime import UTC, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import shuffle_width
+from tidemark.operators.ranks import running
+from tidemark.session import durable
 
 # Offsets in minutes of zone abbreviations, and zones that names without season stand for.
 ABBREVIATIONS = {
@@ -30,9 +35,9 @@ MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oc
 MONTH_NAMES = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())} | MONTHS | {"sept": 9}
 DAYS = {"mon", "tue", "wed", "thu", "fri", "sat", "sun", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "tues", "thur", "thurs"}
 
-#: Records of one source are decoded in blocks of this many successive ids, so that no block outgrows a task.
-BLOCK = 4096
-SWITCH, BACK, GUESS = 1.0, 1.5, 0.25
+SWITCH, BACK = 1.0, 1.5
+#: What a reading costs that the register entry, or the rule for hours that occur twice, speaks against: more than its neighbours on either side can make up for.
+AGAINST = 6.0
 #: A step back of up to this long is ordinary delay of a feed.
 SLACK_US = 86_400_000_000
 
@@ -60,12 +65,14 @@ def _zone(name: str) -> ZoneInfo | None:
         return None
 
 
-def _instant(local: datetime, zone: str | None) -> int | None:
-    """Local time in a zone; of two the first, and a skipped one with the offset before the change (fold 0 does both)."""
+def _instants(local: datetime, zone: str | None) -> list[int]:
+    """Local time in a zone: the first instant, and the second of an hour that occurs twice. A skipped one has the offset before the change only."""
     z = _zone(zone or "UTC")
     if z is None:
-        return None
-    return (local - EPOCH) // ONE_US - z.utcoffset(local) // ONE_US
+        return []
+    at = (local - EPOCH) // ONE_US
+    first, second = z.utcoffset(local) // ONE_US, z.utcoffset(local.replace(fold=1)) // ONE_US
+    return [at - first] if second >= first else [at - first, at - second]
 
 
 def _offset(m: dict[str, str | None]) -> tuple[bool, int | None, str | None]:
@@ -90,30 +97,33 @@ def _offset(m: dict[str, str | None]) -> tuple[bool, int | None, str | None]:
     return False, None, None
 
 
-def _build(kind: str, m: dict[str, str | None], y: int, mo: int, d: int, zone: str | None) -> tuple[str, int] | None:
+Reading = tuple[str, int, float]
+
+
+def _build(kind: str, m: dict[str, str | None], y: int, mo: int, d: int, zone: str | None, cost: float = 0.0) -> list[Reading]:
     h = int(m.get("h") or 0)
     if m.get("ap"):
         if not 1 <= h <= 12:
-            return None
+            return []
         h = h % 12 + (12 if m["ap"] in "Pp" else 0)
     frac = int((m.get("f") or "0").ljust(6, "0")[:6])
     try:
         local = datetime(y, mo, d, h, int(m.get("mi") or 0), int(m.get("s") or 0), frac)
         stated, minutes, region = _offset(m)
         if minutes is not None:
-            us = (local - EPOCH) // ONE_US - minutes * 60_000_000
-        else:
-            us = _instant(local, region if stated else zone)
+            return [(kind, (local - EPOCH) // ONE_US - minutes * 60_000_000, cost)]
+        return [(kind, us, cost + AGAINST * k) for k, us in enumerate(_instants(local, region if stated else zone))]
     except (ValueError, OverflowError):
-        return None
-    return None if us is None else (kind, us)
+        return []
 
 
-def readings(text: str | None, zone: str | None, order: str | None) -> list[tuple[str, int, float]]:
-    """All valid interpretations as (format, UTC microseconds, cost); none for what is not a time.
+def readings(text: str | None, zone: str | None, order: str | None) -> list[Reading]:
+    """All valid interpretations as (format, UTC microseconds, cost), the likeliest first; none for what is not a time.
 
-    ``zone`` and ``order`` (mdy, dmy, ymd) come from the source's register entry and hold where the text
-    itself leaves them open. Without a zone, UTC is meant; without an order, each possible one is an interpretation.
+    ``zone`` and ``order`` (mdy, dmy, ymd) come from the source's register entry. Without a zone, UTC is meant. An order
+    of day and month that the register speaks against is an interpretation too, at the cost AGAINST; without an order
+    both are free. Numbers are seconds or milliseconds, whichever lie before the year 10000; seconds of eleven figures
+    or more, and milliseconds of fewer, cost AGAINST.
     """
     if text is None:
         return []
@@ -122,12 +132,10 @@ def readings(text: str | None, zone: str | None, order: str | None) -> list[tupl
         return []
     if NUMBER.match(t):
         whole, _, part = t.partition(".")
-        n = int(whole)
-        if abs(n) < 10**11:
-            us = n * 1_000_000 + (1 if n >= 0 else -1) * int(part.ljust(6, "0")[:6] or 0)
-            return [("seconds", us, 0.0)]
-        us = n * 1000 + int(part.ljust(3, "0")[:3] or 0)
-        return [("millis", us, 0.0)] if abs(us) < 253_402_300_800_000_000 else []
+        n, sign = int(whole), -1 if t[0] == "-" else 1
+        long = abs(n) >= 10**11
+        both = [("seconds", n * 1_000_000 + sign * int(part.ljust(6, "0")[:6] or 0), AGAINST if long else 0.0), ("millis", n * 1000 + sign * int(part.ljust(3, "0")[:3] or 0), 0.0 if long else AGAINST)]
+        return sorted((r for r in both if abs(r[1]) < 253_402_300_800_000_000), key=lambda r: r[2])
     for kind, form in FORMS:
         m = form.match(t)
         if not m:
@@ -137,23 +145,17 @@ def readings(text: str | None, zone: str | None, order: str | None) -> list[tupl
             return []
         if kind != "slash":
             mo = MONTH_NAMES.get(g["mon"].lower()) if "mon" in g else int(g["mo"])
-            r = _build(kind, g, int(g["y"]), mo, int(g["d"]), zone) if mo else None
-            return [(*r, 0.0)] if r else []
+            return _build(kind, g, int(g["y"]), mo, int(g["d"]), zone) if mo else []
         a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
         if len(g["a"]) == 4:
-            r = _build("ymd", g, a, b, c, zone)
-            return [(*r, 0.0)] if r else []
+            return _build("ymd", g, a, b, c, zone)
         if len(g["c"]) != 4:
             return []
-        out = []
-        for o, (mo, d) in (("mdy", (a, b)), ("dmy", (b, a))):
-            # a register entry that orders otherwise (ymd) says nothing on dates that end in the year
-            if order in ("mdy", "dmy") and o != order:
-                continue
-            r = _build(o, g, c, mo, d, zone)
-            if r:
-                out.append((*r, 0.0 if order == o else GUESS))
-        return out
+        # a register entry that orders otherwise (ymd) says nothing on dates that end in the year
+        told = order if order in ("mdy", "dmy") else None
+        out = [r for o, (mo, d) in (("mdy", (a, b)), ("dmy", (b, a))) for r in _build(o, g, c, mo, d, zone, AGAINST if told and o != told else 0.0)]
+        # what the register's order makes no date at all is none, whatever the other order says
+        return sorted(out, key=lambda r: r[2]) if not told or any(r[0] == told for r in out) else []
     return []
 
 
@@ -177,42 +179,44 @@ def best_path(options: list[list[tuple[str, int, float]]]) -> list[int]:
     return path[::-1]
 
 
-def _choose(ids: list[int], options: list[list[tuple[str, int, float]]], got: list[tuple[int, str, int, int]]) -> None:
-    if not ids:
-        return
-    path = best_path(options) if any(len(o) > 1 for o in options) else [0] * len(ids)
-    got.extend((i, o[k][0], o[k][1], len(o)) for i, o, k in zip(ids, options, path))
+OPTIONS = "array<struct<fmt: string, us: bigint, cost: double>>"
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    at, ids, options = None, [], []
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got: list[tuple[int, str, int, int]] = []
-        for src, blk, i, text, zone, order in zip(b["_src"], b["_blk"], b["_id"], b["_text"], b["_zone"], b["_order"]):
-            if (src, blk) != at:
-                _choose(ids, options, got)
-                at, ids, options = (src, blk), [], []
-            o = readings(text, zone, order)
-            if o:
-                ids.append(i)
-                options.append(o)
-        yield pd.DataFrame(got, columns=["id", "format", "utc_us", "n_readings"]).astype({"id": "int64", "format": "object", "utc_us": "int64", "n_readings": "int64"})
-    got = []
-    _choose(ids, options, got)
-    yield pd.DataFrame(got, columns=["id", "format", "utc_us", "n_readings"]).astype({"id": "int64", "format": "object", "utc_us": "int64", "n_readings": "int64"})
+        o = [readings(t, z, k) for t, z, k in zip(b["_text"], b["_zone"], b["_order"])]
+        some = np.array([bool(x) for x in o], dtype=bool)
+        yield pd.DataFrame({"_src": b["_src"][some], "_id": b["_id"][some], "_o": [[{"fmt": f, "us": u, "cost": c} for f, u, c in x] for x in o if x]})
+
+
+def _decode(stretch: pd.DataFrame) -> pd.DataFrame:
+    """Readings of the ambiguous records of one stretch: its anchors, first and last, are there only to be followed and met."""
+    s = stretch.sort_values(["_id", "_edge"], kind="stable")
+    options = [[(o["fmt"], o["us"], o["cost"]) for o in x] for x in s["_o"]]
+    path = best_path(options)
+    got = [(i, o[k][0], o[k][1], len(o)) for i, o, k in zip(s["_id"], options, path) if len(o) > 1]
+    return pd.DataFrame(got, columns=["id", "format", "utc_us", "n_readings"])
 
 
 def normalise(df: DataFrame, id_col: str, text_col: str, source_col: str, zone_col: str, order_col: str) -> DataFrame:
     """(id, format, utc_us, n_readings) of every row whose text is a time.
 
-    Null, empty and blank texts, words, and impossible dates or times give no row. Rows without source are
-    decoded together by block of ids. Repeated ids each give a row. A source of any size is cut into blocks of
-    BLOCK successive ids; a block is decoded on its own, so results do not depend on partitioning.
+    Null, empty and blank texts, words, and impossible dates or times give no row. Rows without source form one
+    sequence. Repeated ids each give a row. Records are decoded in order of id; a source of any size is cut at its
+    records of one interpretation, which loses nothing, so results do not depend on partitioning.
     """
     q = df.select(
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), F.floor(F.col(id_col) / BLOCK).alias("_blk"), F.col(id_col).cast("long").alias("_id"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), F.col(id_col).cast("long").alias("_id"),
         F.col(text_col).alias("_text"), F.col(zone_col).alias("_zone"), F.col(order_col).alias("_order"),
     ).where("_text is not null")
-    n = max(2, shuffle_width(df.sparkSession))
-    q = q.repartition(n, "_src", "_blk").sortWithinPartitions("_src", "_blk", "_id")
-    return q.mapInPandas(_decode, "id bigint, format string, utc_us bigint, n_readings bigint")
+    read = q.mapInPandas(_read, f"_src string, _id bigint, _o {OPTIONS}")
+    lone = (F.size("_o") == 1).cast("int")
+    # a record's stretch is told by the number of anchors before and with it
+    at = durable(running(read, ["_src"], [F.col("_id"), lone], lone).select("_src", "_id", "_o", F.col("_cum").cast("long").alias("_seg")), "readings")
+    open_ = durable(at.where("size(_o) > 1").select("_src", "_seg").distinct(), "open")
+    ends = at.where("size(_o) = 1").withColumn("_seg", F.col("_seg") - 1).join(open_, ["_src", "_seg"], "left_semi").withColumn("_edge", F.lit(2))
+    starts = at.join(open_, ["_src", "_seg"], "left_semi").withColumn("_edge", F.when(F.size("_o") == 1, 0).otherwise(1))
+    chosen = starts.unionByName(ends).groupBy("_src", "_seg").applyInPandas(_decode, "id bigint, format string, utc_us bigint, n_readings bigint")
+    one = F.col("_o")[0]
+    alone = at.where("size(_o) = 1").select(F.col("_id").alias("id"), one["fmt"].alias("format"), one["us"].alias("utc_us"), F.lit(1).cast("long").alias("n_readings"))
+    return alone.unionByName(chosen)

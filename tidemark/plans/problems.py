@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.grid import missing_periods, regular_grid
 from tidemark.operators.knowledge import as_known
-from tidemark.operators.outlets import with_outlet
+from tidemark.operators.outlets import squeeze, url_host, with_outlet
 from tidemark.operators.spikes import implausible
 from tidemark.operators.timestamps import normalise
 from tidemark.session import table
@@ -47,7 +47,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, published_us): the UTC instant of every record whose published_at is a time."""
     items = table(spark, sf_dir, "sample_news_items").select("item_id", "source", "source_url", "published_at")
-    return normalise(with_outlet(items, table(spark, sf_dir, "news_sources")), "item_id", "published_at", "_outlet", "_zone", "_order").select(F.col("id").alias("item_id"), F.col("utc_us").alias("published_us"))
+    known = with_outlet(items, table(spark, sf_dir, "news_sources"))
+    # a record without outlet goes with those of the same spelling or host
+    stream = F.coalesce(F.col("_outlet").cast("string"), F.nullif(squeeze(F.col("source")), F.lit("")), url_host(F.col("source_url")))
+    return normalise(known.withColumn("_stream", stream), "item_id", "published_at", "_stream", "_zone", "_order").select(F.col("id").alias("item_id"), F.col("utc_us").alias("published_us"))
 
 
 P6_SQL = """
