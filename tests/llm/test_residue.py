@@ -28,6 +28,18 @@ def test_unseen_hosts(fitted):
     assert min(report["sentence_precision"], report["sentence_recall"], report["line_precision"], report["line_recall"]) >= 0.9
 
 
+def test_unseen_families(spark):
+    """Fields of shapes that no training document had are found by what surrounds and makes them up."""
+    report = R.fit(spark.read.parquet(AT), unseen=R.UNSEEN)[1]
+    assert report["unseen_docs"] > 20 and report["unseen_recall"] >= 0.8 and report["unseen_precision"] >= 0.9, report
+
+
+def test_long_sentences_are_judged_whole():
+    words = " ".join(f"word{i}" for i in range(400))
+    assert "".join(t for _, toks in R.pieces(words) for t in toks).count("word399") <= 2
+    assert {t for _, toks in R.pieces(words) for t in toks} == set(R.TOKEN.findall(words))
+
+
 def test_cases(spark, fitted):
     d = spark.createDataFrame([(i, t, ti, "s") for i, t, ti, _ in CASES], "doc_id long, text string, title string, kind string")
     assert {r.doc_id: r.kind for r in R.residue(d, fitted[0]).collect()} == {i: k for i, _, _, k in CASES if k}

@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.encoding import chunks
 
-#: Documents in the sample for the fit, about; at most twice as many reach the driver.
-SAMPLE = 12_000
+#: Documents in the sample for the fit, about, and their longest; at most twice as many reach the driver (200 MB of characters, if all were as long).
+SAMPLE, LONGEST = 12_000, 8_000
 BITS, EPOCHS, LEAST_STEPS, RATE, RIDGE, SEED = 18, 12, 1500, 0.5, 1e-5, 7
 #: One source in so many is left out of the fit for validation.
 HOLD_OUT = 5
 THRESHOLD = 0.5
 #: Characters under which a page without a label is left out of the fit.
 SHORT = 300
-#: Characters on each side of an open field that count as its neighbourhood.
-WINDOW = 80
+#: Tokens up to which a sentence is judged as one.
+WIDE = 48
 
 # Shapes of unfilled fields, by family.
 SHAPES = [
@@ -42,8 +42,8 @@ SHAPES = [
 ]
 # Phrases of filler, of talk about templates and errors, and of error pages and script notices.
 FILLER = r"(?:text|copy|content|headline|subheading|title|body) (?:goes|comes) here|your (?:sub)?(?:headline|heading|title|text) here|(?:sample|dummy|filler) (?:copy|content|text)\b|add body copy|replace this (?:paragraph|text)|\btodo (?:write|add|check|insert)|\b(?:body|chart|quote) to come|\bx{3,} x{3,}|blindtext|platzhaltertext|texte provisoire|texto de (?:la noticia|muestra|relleno)|párrafo de muestra|ここに本文"
-LOREM = r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing)\b"
-TALK = r"template guide|is replaced by|editors type|handbook|old drafts|markers such as|review of the tool|in its settings|script used|swaps in"
+LOREM = r"\b(?:[Ll]orem|ipsum|dolor|amet|consectetur|adipiscing)\b"
+TALK = r"\b(?:templates?|placeholders?|handbooks?|manuals?|guides?|documentation|fields?|markers?|variables?|macros?|scripts?|settings?|editors?|builders?|drafts?|tools?|software)\b"
 NOTICE = (
     r"(?:^|\berror |\berreur |\bfehler |\bstatus\W{1,3})[45]\d\d\b.{0,40}(?:not found|bad gateway|gateway time|internal server|unavailable|forbidden|too many|unauthori|bad request|accès refusé|no pudo|nicht)"
     r"|page not found|not found on this server|something went wrong on our end|(?:enable|activate|turn on|allow) (?:java ?script|scripts)|java ?script is (?:disabled|off|turned off|required)|(?:site|page) requires (?:java ?)?scripts?|browser (?:blocks|has) script"
@@ -52,10 +52,13 @@ NOTICE = (
 )
 
 SHAPE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in SHAPES))
-TOKEN = re.compile(r"§\w+|[^\W\d_]+|\d+|[^\w\s]")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*%?|_+|[^\w\s]")
+#: Marks of ordinary sentences; runs of kinds with any other mark count MARKED times.
+ORDINARY, MARKED = np.array([64 + ord(c) for c in ".,;:!?'\"()-/&…’‘“”„«»–—。、！？「」（）"]), 4
 #: What every shape begins with, to look no further in most sentences.
 QUICK = re.compile(r"[{\[<$@#&]|__|%[A-Z(]|TK|XX")
-FILLER_RE, LOREM_RE, TALK_RE, NOTICE_RE = (re.compile(p, re.I) for p in (FILLER, LOREM, TALK, NOTICE))
+FILLER_RE, TALK_RE, NOTICE_RE = (re.compile(p, re.I) for p in (FILLER, TALK, NOTICE))
+LOREM_RE = re.compile(LOREM)
 ENDS = re.compile(r"[.!?。！？…\"”»)\]]\s*$")
 SENTENCES = re.compile(r"(?<=[.!?。！？])(?=\s|[^\x00-\x7f])\s*")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -107,39 +110,77 @@ def _bucket(gram: str, known: dict[str, int]) -> int:
     return h
 
 
-def _rows(h: np.ndarray, unit: np.ndarray, extra: list[int], extra_unit: list[int], n: int) -> Rows:
-    same = unit[1:] == unit[:-1]
-    two = ((h[:-1] * 0x9E3779B1) ^ (h[1:] * 0x85EBCA77))[same] if len(h) else h
-    two = (two ^ (two >> 15)) & 0xFFFFFFFF
-    every = np.concatenate([h, two, np.array(extra, dtype=np.int64)])
-    owner = np.concatenate([unit, unit[1:][same] if len(h) else unit, np.array(extra_unit, dtype=np.int64)])
+def _grams(h: np.ndarray, unit: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, units) of the runs of ``n`` successive tokens inside a unit."""
+    if len(h) < n:
+        return h[:0], unit[:0]
+    inside = unit[n - 1 :] == unit[: len(unit) - n + 1]
+    x = np.full(len(h) - n + 1, salt, dtype=np.int64)
+    for k in range(n):
+        x = ((x ^ h[k : len(h) - n + 1 + k]) * 0x85EBCA77) & 0xFFFFFFFF
+        x ^= x >> 13
+    return x[inside], unit[n - 1 :][inside]
+
+
+def _rows(h: np.ndarray, kinds: np.ndarray, unit: np.ndarray, extra: list[int], extra_unit: list[int], n: int) -> Rows:
+    """Words and pairs of words, and runs of three and four kinds of tokens."""
+    parts = [(h, unit), _grams(h, unit, 2, 1), (np.array(extra, dtype=np.int64), np.array(extra_unit, dtype=np.int64))]
+    odd = (kinds >= 64) & ~np.isin(kinds, ORDINARY)
+    # once as they are, and once with all odd marks alike, so that fields of shapes never seen look like those seen
+    for size, of, salt in ((3, kinds, 3), (4, kinds, 4), (2, np.where(odd, 6, kinds), 5), (3, np.where(odd, 6, kinds), 6)):
+        x, u = _grams(of, unit, size, salt)
+        if len(x):
+            marked = np.lib.stride_tricks.sliding_window_view(odd, size).any(axis=1)[unit[size - 1 :] == unit[: len(unit) - size + 1]]
+            times = np.where(marked, MARKED, 1)
+            parts.append((np.repeat(x, times), np.repeat(u, times)))
+    every, owner = np.concatenate([x for x, _ in parts]), np.concatenate([u for _, u in parts])
     order = np.argsort(owner, kind="stable")
     start = np.searchsorted(owner[order], np.arange(n + 1))
     return Rows((every[order] & ((1 << BITS) - 1)).astype(np.int64), start)
 
 
+def _kind(tok: str) -> int:
+    """A mark stands for itself; words are lower, upper, capitalised, or other; digits are all alike."""
+    if tok[0].isdigit():
+        return 1
+    if tok[0].isalpha():
+        return 2 if tok.islower() else 3 if tok.isupper() and len(tok) > 1 else 4 if tok[0].isupper() else 5
+    return 64 + ord(tok[0])
+
+
+def pieces(line: str) -> Iterator[tuple[str, list[str]]]:
+    """(text, tokens) of a line's sentences; a sentence of more than WIDE tokens comes in windows that overlap by half, so every part of it is judged."""
+    for s in sentences_of(line):
+        found = list(TOKEN.finditer(s))
+        if len(found) <= WIDE:
+            yield s, [m.group() for m in found]
+            continue
+        for k in range(0, len(found) - WIDE // 2, WIDE // 2):
+            part = found[k : k + WIDE]
+            yield s[part[0].start() : part[-1].end()], [m.group() for m in part]
+
+
 def units(texts: list[str], titles: list[str | None], known: dict[str, int]) -> Units:
-    """Hashed n-grams, shape, length and title features of every sentence and line of a batch."""
+    """Hashed n-grams of words and of kinds of tokens, length and title features, of every sentence and line of a batch."""
     sents, lines, sdoc, ldoc = [], [], [], []
-    hs, hu, hl = [], [], []
+    hs, ks, hu, hl = [], [], [], []
     se, seu, le, leu = [], [], [], []
     for k, (text, title) in enumerate(zip(texts, titles)):
         head = title.strip().lower() if title else None
         for line in lines_of(text):
             lno, size = len(lines), 0
-            for s in sentences_of(line):
-                first = SHAPE.search(s) if QUICK.search(s) else None
-                if first is None and not LETTERS.search(s):
+            for s, toks in pieces(line):
+                if not toks:
                     continue
                 sno = len(sents)
-                # around a field its neighbourhood tells whether it is one left open or one talked about
-                near = SHAPE.sub(lambda m: f" §{m.lastgroup} ", s[max(0, first.start() - WINDOW) : first.end() + WINDOW]) if first else s
-                toks = [known.get(x) or _bucket("9" if x.isdigit() else x, known) for x in TOKEN.findall(near.lower())]
+                hs += [known.get(x) or _bucket("9" if x[0].isdigit() else x.lower(), known) for x in toks]
+                ks += [_kind(x) for x in toks]
+                hu += [sno] * len(toks)
+                hl += [lno] * len(toks)
+                size += len(toks)
                 more = [f"~len{min(len(toks).bit_length(), 7)}", "~ends" if ENDS.search(s) else "~open"]
-                if not near.isascii():
-                    more += [run[i : i + 3] for run in CJK.findall(near) for i in range(len(run) - 1)]
-                if first:
-                    more += [f"~field{i}" for i in range(6)]
+                if not s.isascii():
+                    more += [run[i : i + 3] for run in CJK.findall(s) for i in range(len(run) - 1)]
                 if s.isupper():
                     more.append("~upper")
                 got = [_bucket(g, known) for g in more]
@@ -147,10 +188,6 @@ def units(texts: list[str], titles: list[str | None], known: dict[str, int]) ->
                 seu += [sno] * len(got)
                 le += got[2:]
                 leu += [lno] * (len(got) - 2)
-                hs += toks
-                hu += [sno] * len(toks)
-                hl += [lno] * len(toks)
-                size += len(toks)
                 sents.append(s)
                 sdoc.append(k)
             more = [f"~len{min(size.bit_length(), 8)}", "~ends" if ENDS.search(line) else "~open"] + (["~title"] if head and line.lower() == head else [])
@@ -158,17 +195,18 @@ def units(texts: list[str], titles: list[str | None], known: dict[str, int]) ->
             leu += [lno] * len(more)
             lines.append(line)
             ldoc.append(k)
-    h = np.array(hs, dtype=np.int64)
+    h, kinds = np.array(hs, dtype=np.int64), np.array(ks, dtype=np.int64)
     return Units(
         sents, lines, np.array(sdoc, dtype=np.int64), np.array(ldoc, dtype=np.int64),
-        _rows(h, np.array(hu, dtype=np.int64), se, seu, len(sents)), _rows(h, np.array(hl, dtype=np.int64), le, leu, len(lines)),
+        _rows(h, kinds, np.array(hu, dtype=np.int64), se, seu, len(sents)), _rows(h, kinds, np.array(hl, dtype=np.int64), le, leu, len(lines)),
     )
 
 
 def weak_sentence(s: str) -> int:
-    if TALK_RE.search(s):
+    """1 for shapes of open fields, filler phrases, or mock Latin in lower case; -1 if two words tell that such a sentence is about the making of texts; else 0."""
+    if not ((QUICK.search(s) and SHAPE.search(s)) or FILLER_RE.search(s) or len(LOREM_RE.findall(s)) >= 2):
         return 0
-    return int(bool((QUICK.search(s) and SHAPE.search(s)) or FILLER_RE.search(s) or len(LOREM_RE.findall(s)) >= 2 and "Capital" not in s))
+    return 1 if len({x.lower() for x in TALK_RE.findall(s)}) < 2 else -1
 
 
 def weak_lines(lines: list[str], title: str | None) -> list[int]:
@@ -192,13 +230,14 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_linear(rows: Rows, y: np.ndarray) -> Linear:
-    """L2-regularised logistic regression by AdaGrad; the rarer class weighs more. Constant without both classes."""
+def fit_linear(rows: Rows, labels: np.ndarray) -> Linear:
+    """L2-regularised logistic regression by AdaGrad; the rarer class weighs more, and as much so do units labelled -1, no cases that look like one. Constant without both classes."""
+    y = (labels == 1).astype(float)
     w, g2, bias, gb = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), 0.0, 1e-8
     if len(y) == 0 or y.min() == y.max():
         return Linear(w.astype("float32"), -9.0)
     rng = np.random.default_rng(SEED)
-    weight = np.minimum(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 20.0)
+    weight = np.minimum(np.where(labels != 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 20.0)
     batches = max(1, len(rows) // 512)
     for _ in range(max(EPOCHS, LEAST_STEPS // batches)):
         for part in np.array_split(rng.permutation(len(rows)), batches):
@@ -217,11 +256,11 @@ def fit_linear(rows: Rows, y: np.ndarray) -> Linear:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> pd.DataFrame:
-    """About ``size`` documents, at most twice as many, chosen by hash of their id."""
-    n = docs.count()
-    d = docs.where("text is not null").select("doc_id", "text", "title", "source")
+    """About ``size`` documents of at most LONGEST characters, at most twice as many, chosen by hash of their id. Only the fit is bounded so; judged are all, whole."""
+    d = docs.where(F.length("text") <= LONGEST).select("doc_id", "text", "title", "source")
+    n = d.select("doc_id").count()
     if n > size:
-        d = d.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * size / n)).limit(2 * size)
+        d = d.where(F.xxhash64("doc_id", F.lit(SEED)).cast("double") < size / n * 2.0**64 - 2.0**63).limit(2 * size)
     return d.toPandas()
 
 
@@ -271,21 +310,45 @@ def _told(u: Units, ys: np.ndarray, yl: np.ndarray, chars: np.ndarray) -> np.nda
     return label | (chars >= SHORT)
 
 
-def fit(docs: DataFrame, size: int = SAMPLE) -> tuple[Detector, dict[str, float]]:
-    """The detector, and its agreement with the weak labels on sources left out of the fit."""
+#: Families of open fields that the fit for the report never sees.
+UNSEEN = frozenset({"dollar", "under", "square"})
+
+
+def _families(text: str) -> set[str]:
+    return {m.lastgroup for m in SHAPE.finditer(text)} if QUICK.search(text) else set()
+
+
+def fit(docs: DataFrame, size: int = SAMPLE, unseen: frozenset[str] = frozenset()) -> tuple[Detector, dict[str, float]]:
+    """The detector, and how it does on sources left out of the fit.
+
+    With ``unseen`` documents with fields of these families are left out too, and the report says how many of those that
+    have no other residue are found, and how many documents found in the held-out sources have a label or such a field.
+    """
     rows = sample(docs, size)
     held = np.array([_held_out(s if isinstance(s, str) else None) for s in rows["source"]], dtype=bool)
-    u, ys, yl = _training(rows[~held])
+    strange = np.array([bool(unseen & _families(t)) for t in rows["text"]] if unseen else np.zeros(len(rows)), dtype=bool)
+    u, ys, yl = _training(rows[~held & ~strange])
     # a short page without any label may be a kind of notice the phrases don't know: it teaches nothing
-    known = _told(u, ys, yl, rows[~held]["text"].str.len().to_numpy())
+    known = _told(u, ys, yl, rows[~held & ~strange]["text"].str.len().to_numpy())
     s, ln = np.flatnonzero(known[u.sentence_doc]), np.flatnonzero(known[u.line_doc])
     det = Detector(fit_linear(u.sentence_rows.take(s), ys[s]), fit_linear(u.line_rows.take(ln), yl[ln]))
     v, vs, vl = _training(rows[held])
-    report = {"fit_docs": float((~held).sum()), "held_docs": float(held.sum())}
+    report = {"fit_docs": float((~held & ~strange).sum()), "held_docs": float(held.sum())}
     for name, model, x, y in (("sentence", det.sentence, v.sentence_rows, vs), ("line", det.line, v.line_rows, vl)):
         got = model.score(x) >= THRESHOLD
         hit = float((got & (y == 1)).sum())
         report |= {f"{name}_precision": hit / max(1.0, float(got.sum())), f"{name}_recall": hit / max(1.0, float((y == 1).sum())), f"{name}_positives": float((y == 1).sum())}
+    if unseen and len(rows):
+        w, ws, _ = _training(rows)
+        labelled, other = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+        for k, doc, text in zip(ws, w.sentence_doc, w.sentences):
+            if k == 1:
+                labelled[doc] = True
+                other[doc] |= not unseen & _families(text)
+        only = strange & labelled & ~other
+        found = np.array([k is not None for k in det.judge(rows["text"].tolist(), [t if isinstance(t, str) else None for t in rows["title"]], {})[0]], dtype=bool)
+        sentences = np.array([k == "placeholder" for k in det.judge(rows["text"].tolist(), [None] * len(rows), {})[0]], dtype=bool)
+        report |= {"unseen_docs": float(only.sum()), "unseen_recall": float((found & only).sum()) / max(1.0, float(only.sum())), "unseen_precision": float((sentences & held & (labelled | strange)).sum()) / max(1.0, float((sentences & held).sum()))}
     return det, report
 
 
