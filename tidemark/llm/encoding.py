@@ -214,14 +214,14 @@ def chunks(texts: list[str | None]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _runner(path: str, pattern: str, count: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _runner(path: str, pattern: str, count: bool, carry: tuple[str, ...] = ()) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, pattern)
         for b in batches:
             texts = b["text"].tolist()
             for s in chunks(texts):
                 ids = enc.encode(texts[s])
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[s]} | ({"n_tokens": np.array([len(x) for x in ids], dtype="int64")} if count else {"ids": ids}))
+                yield pd.DataFrame({c: b[c].to_numpy()[s] for c in ("doc_id", *carry)} | ({"n_tokens": np.array([len(x) for x in ids], dtype="int64")} if count else {"ids": ids}))
 
     return run
 
@@ -236,7 +236,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id bigint, ids array<int>")
 
 
-def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every row of ``docs``; null and empty texts have 0."""
-    run = _runner(path or vocabulary_path(), pattern or vocabulary_pattern(), True)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id bigint, n_tokens bigint")
+def token_counts(docs: DataFrame, *carry: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ..., n_tokens) of every row of ``docs``, with the columns ``carry``; null and empty texts have 0."""
+    run = _runner(path or vocabulary_path(), pattern or vocabulary_pattern(), True, carry)
+    d = docs.select(F.col("doc_id").cast("long"), *carry, "text")
+    return d.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("text").schema) + ", n_tokens bigint")

@@ -30,8 +30,6 @@ PLACES = 1 << 20
 BATCH = 4096
 #: Keys that one task sorts at a time.
 RANGE_KEYS = 2_000_000
-#: Candidate documents up to which their ids are broadcast, to pick their texts in the scan; beyond, texts are shuffled.
-PICK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -151,18 +149,19 @@ def _pack(plan: Plan, ranges: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 if not len(s):
                     continue
                 docs, sig = signatures(s, d, plan, perms)
-                # equal sets give equal contents: an order-free sum over the distinct shingles
+                # equal sets give equal contents: two order-free sums over the distinct shingles, 128 bits
                 order = np.lexsort((s, d))
                 s, d = s[order], d[order]
                 new = np.append(True, (s[1:] != s[:-1]) | (d[1:] != d[:-1]))
                 with np.errstate(over="ignore"):
-                    content = np.add.reduceat(_mix(s[new]), np.unique(d[new], return_index=True)[1])
+                    starts = np.unique(d[new], return_index=True)[1]
+                    content = np.stack([np.add.reduceat(_mix(s[new] ^ np.uint64(x)), starts) for x in (0, 0x5851F42D4C957F2D)], axis=1)
                 sketch = np.packbits((sig & 1).astype(np.uint8), axis=1)
                 base = (part << 40) | (count << 12)
                 count += 1
                 keys = band_keys(sig, plan)
                 # one of each content in a batch stands for the others
-                _, lead = np.unique(content, return_index=True)
+                _, lead = np.unique(content, axis=0, return_index=True)
                 k, local = keys[lead].ravel(), np.repeat(lead, plan.bands).astype(np.uint16)
                 rng = (k % np.uint64(ranges)).astype(np.int64)
                 short = (k // np.uint64(ranges)).astype(np.uint32)
@@ -188,8 +187,8 @@ def _unpack(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
         for b in batches:
             for base, a, x in zip(b["base"], b["a"], b["b"]):
                 n = len(a) // 8
-                sk = np.frombuffer(x, dtype=np.uint8, offset=8 * n).reshape(n, width)
-                yield pd.DataFrame({"rid": base + np.arange(n), "id": np.frombuffer(a, dtype="<i8"), "content": np.frombuffer(x, dtype=np.int64, count=n), "sketch": [r.tobytes() for r in sk]})
+                sk = np.frombuffer(x, dtype=np.uint8, offset=16 * n).reshape(n, width)
+                yield pd.DataFrame({"rid": base + np.arange(n), "id": np.frombuffer(a, dtype="<i8"), "content": [x[16 * k : 16 * k + 16] for k in range(n)], "sketch": [r.tobytes() for r in sk]})
 
     return run
 
@@ -291,10 +290,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> Groups:
     rows = texts.select("id").count()
     ranges = max(shuffle_width(spark), -(-rows * plan.bands // RANGE_KEYS))
     packed = durable(texts.mapInPandas(_pack(plan, ranges), "rng int, base bigint, a binary, b binary"), "packed")
-    info = durable(packed.where("rng = -1").select("base", "a", "b").mapInPandas(_unpack(plan), "rid bigint, id bigint, content bigint, sketch binary"), "info")
+    info = durable(packed.where("rng = -1").select("base", "a", "b").mapInPandas(_unpack(plan), "rid bigint, id bigint, content binary, sketch binary"), "info")
     lead = info.groupBy("content").agg(F.min("id").alias("rep"))
     members = durable(info.join(lead, "content").select("rid", "id", "rep"), "members")
-    met = durable(packed.where("rng >= 0").groupBy("rng").applyInPandas(_collide, "a bigint, b bigint, key bigint"), "met")
+    met = durable(packed.where("rng >= 0").repartition(ranges, "rng").groupBy("rng").applyInPandas(_collide, "a bigint, b bigint, key bigint"), "met")
     release(packed)
     # from local numbers to the documents that stand for them; copies in different batches fall together here
     stand = info.join(lead, "content").select("rid", F.col("rep").alias("id"), "sketch")
@@ -311,7 +310,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> Groups:
     cand = durable(cand, "candidates")
     release(met, info, big)
     wanted = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(bounded(wanted, PICK_ROWS), "id", "left_semi").mapInPandas(_sets(plan), "id bigint, set binary")
+    sets = texts.join(bounded(wanted), "id", "left_semi").mapInPandas(_sets(plan), "id bigint, set binary")
     full = cand.join(sets.select(F.col("id").alias("a"), F.col("set").alias("pa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("pb")), "b")
     links = durable(full.mapInPandas(_exact(plan), "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"]), "links")
     return Groups(links, members.select("id", "rep"))
@@ -331,3 +330,27 @@ def classes(groups: Groups) -> DataFrame:
     """(id, rep, n_links): one row per document, its class of equals, and the number of other classes it is linked to."""
     n = groups.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     return groups.members.join(n, "rep", "left").select("id", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def grouped(groups: Groups) -> DataFrame:
+    """(id, group_id, n): every record of a group of two or more, copies included; a group is what links connect, named by its least id.
+
+    Least labels travel along the links and jump to their label's label, so a chain of n links takes about log n rounds;
+    each round is written to the shared folder, and no group is gathered.
+    """
+    links = groups.links.select("a", "b")
+    edges = durable(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    label = durable(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = edges.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = label.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = step.join(label.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left")
+        new = durable(jump.select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        moved = not new.where("old <> label").isEmpty()
+        release(label)
+        label = new
+        if not moved:
+            break
+    all_ = groups.members.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("group_id"))
+    n = all_.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return all_.join(n, "group_id").select("id", "group_id", "n")

@@ -12,7 +12,7 @@ from tidemark.llm.capping import CapState, latest_quality, load_caps
 from tidemark.llm.encoding import encode_documents, token_counts
 from tidemark.llm.history import History
 from tidemark.llm.mixture import mix
-from tidemark.llm.neardup import Groups, Plan, classes, expanded, near_duplicates
+from tidemark.llm.neardup import Groups, Plan, classes, expanded, grouped, near_duplicates
 from tidemark.operators.outlets import with_outlet
 from tidemark.session import durable, release, table
 
@@ -59,8 +59,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select(F.col("id").alias("item_id"))
 
 
-#: Three words, half in common, fifty words at least; finds a pair at the threshold with probability 0.955, at 0.6 with 0.9985.
-P5_PLAN = Plan(words=3, similarity=0.5, least_words=50, bands=48, rows=4)
+#: Three words, half in common, fifty words at least; finds a pair at the threshold with probability 0.990, at 0.55 with 0.999.
+P5_PLAN = Plan(words=3, similarity=0.5, least_words=50, bands=72, rows=4)
 
 
 def news_groups(spark: SparkSession, sf_dir: str) -> Groups:
@@ -79,14 +79,18 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(news_groups(spark, sf_dir)).select(F.col("id").alias("item_id"), "rep", "n_links")
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, group_id, n): the records that belong together, directly or through others."""
+    return grouped(news_groups(spark, sf_dir)).withColumnRenamed("id", "item_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document."""
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
 def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    sized = durable(docs.select("doc_id", "source").join(token_counts(docs), "doc_id"), "sized")
+    sized = durable(token_counts(table(spark, sf_dir, "documents"), "source"), "sized")
     return mix(sized, table(spark, sf_dir, "mixture_targets"))
 
 
@@ -140,5 +144,12 @@ P1_STATE_SQL = P1_SQL[: P1_SQL.index("SELECT item_id FROM r")].replace("SELECT n
 SELECT batch_no AS load, sid::BIGINT AS contributor, count(*) AS kept_n, max_by(avg_confidence, k) AS cut_q, max_by(item_id, k) AS cut_id FROM r WHERE k <= cap GROUP BY 1, 2
 """
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p3_found": p3_found, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
-SQL = {"p1_found": P1_SQL, "p1_state": P1_STATE_SQL, "p5_found": P5_SQL}
+# pairs of copies and near-copies, then the least record each can reach
+P5_GROUPS_SQL = P5_SQL.replace("WITH w AS", "WITH RECURSIVE w AS").replace("SELECT a AS item_id_a, b AS item_id_b", ", l AS (SELECT a, b") + """),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l), reach AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+g AS (SELECT x AS item_id, min(y) AS group_id FROM reach GROUP BY 1)
+SELECT item_id, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM g
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p3_found": p3_found, "p5_found": p5_found, "p5_classes": p5_classes, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
+SQL = {"p1_found": P1_SQL, "p1_state": P1_STATE_SQL, "p5_found": P5_SQL, "p5_groups": P5_GROUPS_SQL}
