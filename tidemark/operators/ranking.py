@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running
+
 
 def average_rank(value: Column, by: list[str]) -> Column:
     """Rank from 1, ties at their mean."""
@@ -41,11 +43,10 @@ def quintiles(df: DataFrame, by: list[str], score: str, value: str, tie: str) ->
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: positives, negatives, auroc (ties count half); null without both classes.
 
-    Equal scores are counted first, so what is then ordered is one row per distinct score.
+    Equal scores are counted first; the running count over distinct scores goes over many tasks.
     """
-    g = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = g.withColumn("_u", F.col("p") * (below + F.col("q") / 2.0))
+    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_x")).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    u = running(g, [], [F.col("_x")], F.col("q")).withColumn("_u", F.col("p") * (F.col("_cum") - F.col("q") / 2.0))
     return u.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("q"), F.lit(0)).alias("negatives"), F.try_divide(F.sum("_u"), F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auroc"))
 
 
@@ -70,6 +71,52 @@ def lead_lag(monthly: DataFrame, windows: DataFrame, threshold: float, before: i
     return windows.join(first, ["start", "end"], "left").select("start", "end", "detected", diff.alias("lead_lag_months"))
 
 
+def monthly_benchmark(scored: DataFrame, timeline: DataFrame, windows: DataFrame, states: list[str]) -> DataFrame:
+    """(month, probability, raw_state, reported_state, inside): the summed probability of ``states`` in each valid month, and whether a window holds it.
+
+    ``windows``: start, end, a small parameter relation; their months make the membership an equi-join.
+    """
+    month = F.trunc("date", "month")
+    p = scored.where(F.col("output_id").isin(states) & F.col("probability").isNotNull()).groupBy(month.alias("month")).agg(F.sum("probability").alias("p"))
+    inside = windows.select(F.explode(F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))).alias("month")).distinct().withColumn("_in", F.lit(True))
+    t = timeline.where("valid and date is not null").select(month.alias("month"), "raw_state", "reported_state")
+    j = t.join(p, "month", "left").join(F.broadcast(inside), "month", "left")
+    return j.select("month", F.coalesce("p", F.lit(0.0)).alias("probability"), "raw_state", "reported_state", F.coalesce("_in", F.lit(False)).alias("inside"))
+
+
+def label_rates(df: DataFrame, by: list[str], flag: Column, inside: str) -> DataFrame:
+    """(by, inside_months, hits, hit_rate, flags, flag_rate): how often a flag falls inside and outside."""
+    i, f = F.col(inside), F.coalesce(flag, F.lit(False))
+    g = df.groupBy(*by).agg(F.count_if(i).alias("inside_months"), F.count_if(i & f).alias("hits"), F.count_if(~i & f).alias("flags"), F.count_if(~i).alias("_out"))
+    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return g.select(*by, "inside_months", "hits", rate("hits", "inside_months").alias("hit_rate"), "flags", rate("flags", "_out").alias("flag_rate"))
+
+
+def rank_distribution(scores: DataFrame, key: str, when: str, rank: int) -> DataFrame:
+    """(key, firsts, always): how often each key had the rank, and whether on every date."""
+    dates = scores.agg(F.countDistinct(when).alias("_d"))
+    n = scores.where(F.col("rank") == rank).groupBy(key).agg(F.count(F.lit(1)).alias("firsts"))
+    return n.crossJoin(F.broadcast(dates)).select(key, "firsts", (F.col("firsts") == F.col("_d")).alias("always"))
+
+
+def validation_by(returns: DataFrame, key: str, horizons: list[int]) -> DataFrame:
+    """(key, rows, average_score, average_relative_{h}m, hit_rate_{h}m) of rows with valid returns."""
+    r = lambda h: F.col(f"relative_forward_{h}m_return")
+    per = [x for h in horizons for x in (F.avg(r(h)).alias(f"average_relative_{h}m"), F.avg((r(h) > 0).cast("double")).alias(f"hit_rate_{h}m"))]
+    return returns.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.avg("score").alias("average_score"), *per)
+
+
+def variant_comparison(scores: DataFrame) -> DataFrame:
+    """(variant_id, mean_score, spread, mean_rank_change) of (variant_id, entity_id, date, score, valid), the most spread first. A rank change counts between successive dates only."""
+    w = W.partitionBy("variant_id", "date").orderBy(F.round("score", 9).desc(), "entity_id")
+    n = F.dense_rank().over(W.partitionBy("variant_id").orderBy("date"))
+    v = scores.where("valid").withColumn("_k", F.row_number().over(w)).withColumn("_n", n)
+    o = W.partitionBy("variant_id", "entity_id").orderBy("date")
+    v = v.withColumn("_c", F.when(F.lag("_n").over(o) == F.col("_n") - 1, F.abs(F.col("_k") - F.lag("_k").over(o))))
+    g = v.groupBy("variant_id").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("spread"), F.avg("_c").alias("mean_rank_change"))
+    return g.orderBy(F.round("spread", 6).desc_nulls_last(), F.round("mean_rank_change", 6).desc_nulls_last(), "variant_id")
+
+
 def within_budget(pool: DataFrame, group: str, score: list[Column], weights: dict[str, float], cap: int, default: float = 1.0) -> DataFrame:
     """At most ``cap`` rows: each present group's floor(cap * weight / sum of weights) best, then the best of the rest.
 

@@ -132,3 +132,24 @@ def sector_scores(components: DataFrame, macro: DataFrame, low: float = 0.4, hig
 def cross_zscore(x: Column, w: W) -> Column:
     """z-score in a cross-section by population deviation; 0 without spread."""
     return F.coalesce(F.try_divide(x - F.avg(x).over(w), F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))), F.lit(0.0))
+
+
+def interaction(scores: DataFrame, parts: list[tuple[str, str]]) -> DataFrame:
+    """(date, value): the least of several outputs as their polarities count them; no row where any of them is missing or invalid."""
+    cfg = scores.sparkSession.createDataFrame(parts, "output_id string, polarity string")
+    j = scores.where("valid and score is not null").join(F.broadcast(cfg), "output_id").select("date", polarity(F.col("polarity"), F.col("score")).alias("v"))
+    return j.groupBy("date").agg(F.count("v").alias("_n"), F.min("v").alias("value")).where(F.col("_n") == len(parts)).drop("_n")
+
+
+def blended(scores: DataFrame, inter: DataFrame, output: str, weight: float, inter_weight: float) -> DataFrame:
+    """``scores`` with one output's valid scores mixed with the interaction's values by their weights."""
+    whole = weight + inter_weight
+    mixed = F.col("score") * (weight / whole) + F.col("value") * (inter_weight / whole)
+    use = (F.col("output_id") == output) & F.col("valid") & F.col("value").isNotNull()
+    return scores.join(inter, "date", "left").withColumn("score", F.when(use, mixed).otherwise(F.col("score"))).drop("value")
+
+
+def varied(components: DataFrame, variants: DataFrame) -> DataFrame:
+    """(variant_id, entity_id, date, score, valid) for every variant's weights of the component types, in one plan. ``variants``: variant_id, prior_weight, dimension_weight, parameters."""
+    w = F.when(F.col("component_type") == "regime_prior", F.col("prior_weight")).otherwise(F.col("dimension_weight"))
+    return components.crossJoin(F.broadcast(variants)).groupBy("variant_id", "entity_id", "date").agg(F.sum(F.col("contribution") * w).alias("score"), F.bool_and("valid").alias("valid"))

@@ -74,3 +74,11 @@ def summary(timeline: DataFrame, low: float = 0.25) -> DataFrame:
     n = v.groupBy("reported_state").count()
     share = n.withColumn("_t", F.sum("count").over(W.partitionBy())).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("reported_state"), F.lit("="), F.format_number(F.col("count") / F.col("_t"), 4)))), ",").alias("distribution"))
     return base.crossJoin(r).crossJoin(share)
+
+
+def reversals(found: DataFrame, months: int) -> DataFrame:
+    """(n): transitions that are turned back within so many months. Transitions are bounded by the calendar; states and months make it an equi-join."""
+    a = found.select("transition_date", "from_state", "to_state", F.explode(F.sequence(F.trunc("transition_date", "month"), F.add_months(F.trunc("transition_date", "month"), months), F.expr("interval 1 month"))).alias("m"))
+    b = found.select(F.col("transition_date").alias("back"), F.col("from_state").alias("to_state"), F.col("to_state").alias("from_state"), F.trunc("transition_date", "month").alias("m"))
+    hit = a.join(b, ["from_state", "to_state", "m"]).where("back > transition_date")
+    return hit.agg(F.countDistinct("transition_date").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running
 from tidemark.session import durable, release
 
 
@@ -85,3 +86,18 @@ def leaders(links: DataFrame, members: DataFrame) -> DataFrame:
     first = edges.join(state.where("s = 1").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("lead"))
     settled = state.join(first, "id", "left").select(F.col("id").alias("rep"), F.when(F.col("s") == 1, F.col("id")).otherwise(F.col("lead")).alias("event_id"))
     return members.join(settled, "rep").select("id", "event_id")
+
+
+def prioritised(pool: DataFrame, threshold: float, penalty: float, least: float) -> DataFrame:
+    """(id, event_id, novelty, score, eligible) of ``pool`` (id, base, bad, toks): near-copies of a better item join its event and lose by ``penalty``.
+
+    Items are taken by base score, then id: each joins the earliest leader it is as similar to as ``threshold``, else
+    leads. Bad items stay out, keep an event of their own and are not eligible; so are scores under ``least``.
+    """
+    ranked = durable(running(pool.where("not bad"), [], [F.col("base").desc_nulls_last(), F.col("id")]), "ranked")
+    events = leaders(*similar_classes(ranked.select(F.col("_rank").alias("id"), "toks"), threshold)).select(F.col("id").alias("_rank"), F.col("event_id").alias("_lead"))
+    names = ranked.select(F.col("_rank").alias("_lead"), F.col("id").alias("event_id"))
+    good = ranked.select("id", "base", "_rank").join(events, "_rank").join(names, "_lead")
+    novelty = F.when(F.col("event_id") == F.col("id"), F.lit(1.0)).otherwise(F.lit(penalty))
+    out = good.select("id", "event_id", novelty.alias("novelty"), (F.coalesce("base", F.lit(0.0)) * novelty).alias("score")).withColumn("eligible", F.col("score") >= least)
+    return out.unionByName(pool.where("bad").select("id", F.col("id").alias("event_id"), F.lit(1.0).alias("novelty"), F.lit(0.0).alias("score"), F.lit(False).alias("eligible")))

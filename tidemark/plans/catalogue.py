@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import macro, macro_sql, news, problems
+from tidemark.plans import feed, macro, macro_sql, news, problems, reports
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES | macro.QUERIES | news.QUERIES
+    return problems.QUERIES | macro.QUERIES | news.QUERIES | feed.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.SQL | macro_sql.SQL | news.SQL
+    return problems.SQL | macro_sql.SQL | news.SQL | feed.SQL | reports.SQL

@@ -132,6 +132,17 @@ def event_clusters(spark: SparkSession, d: str) -> DataFrame:
     return text.leaders(*text.similar_classes(words(spark, d), 0.6))
 
 
+def priority_events(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by authority, keywords and freshness (age in fractions of a day), near-copies of better ones in their event at a penalty."""
+    docs = table(spark, d, "documents")
+    t = F.concat_ws(" ", "title", "text")
+    now = F.lit("2026-12-31 00:00:00").cast("timestamp")
+    age = F.greatest(F.lit(0.0), F.coalesce((F.unix_micros(now) - F.unix_micros(F.col("published_at").cast("timestamp"))) / 86_400_000_000.0, F.lit(4000.0)))
+    base = F.round(text.priority(F.when(F.col("lang") == "en", 1.2).otherwise(1.0), text.keyword_hits(t, LEXICON), 6, events.decay(age, 400.0, 4000.0)), 6)
+    pool = docs.select(F.col("doc_id").alias("id"), base.alias("base"), (~text.passes_gate(t, F.col("text"), MARKERS, 40)).alias("bad"), text.tokens(t).alias("toks"))
+    return nine(text.prioritised(pool, 0.6, 0.4, 0.05))
+
+
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", text.word_count(F.col("text")).alias("words"), text.passes_gate(F.concat_ws(" ", "title", "text"), F.col("text"), MARKERS, 40).alias("passes"))
@@ -162,7 +173,7 @@ def quota_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_classify(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "sample_news_items")
-    return n.select("item_id", classify.rule_class(F.concat_ws(" ", "title", "body")).alias("c")).select("item_id", "c.theme", "c.sector", "c.impact")
+    return n.select("item_id", classify.rule_class(F.concat_ws(" ", "title", "body")).alias("c")).select("item_id", "c.theme", "c.direction", "c.severity", "c.horizon", "c.sector", "c.impact", "c.score")
 
 
 def theme_explode(spark: SparkSession, d: str) -> DataFrame:
@@ -236,15 +247,6 @@ def confidence_ledger(spark: SparkSession, d: str) -> DataFrame:
     return r.select("report_row_id", "top_news_id", "section")
 
 
-def confidence_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Right-closed buckets with the least value in the first; empty ones are kept."""
-    c = F.col("confidence")
-    b = F.when(c <= 0.3, "0.0-0.3").when(c <= 0.5, "0.3-0.5").when(c <= 0.8, "0.5-0.8").otherwise("0.8-1.0")
-    g = feed(spark, d).where("direction <> 'neutral'").groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("raw") > 0).cast("double")).alias("hit_rate"), F.avg("raw").alias("avg_raw"))
-    spine = spark.createDataFrame([(x,) for x in ("0.0-0.3", "0.3-0.5", "0.5-0.8", "0.8-1.0", "over")], "bucket string")
-    return nine(spine.join(g, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), "hit_rate", "avg_raw"))
-
-
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     new = o.where("o_totalprice > 300000").select("o_orderkey", F.lit("X").alias("o_orderstatus"), "o_totalprice")
@@ -263,19 +265,23 @@ def retention_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "sample_news_items").select("item_id", "source", "title", "body", F.date_trunc("second", F.col("ingested_at").cast("timestamp")).alias("published_at"))
+    n = table(spark, d, "sample_news_items").select("item_id", "source", "title", "body", F.when(F.col("item_id") % 5 != 0, F.col("ingested_at").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, (item_id % 3) * 0.25)")).alias("published_at"))
     return n.select("item_id", landing.content_hash().alias("content_hash"))
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.coalesce("title", F.lit("")), F.lit("</p><script>x()</script><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), F.lit("</p></body></html>"))
-    return table(spark, d, "documents").select("doc_id", F.length(landing.plain_text(page)).alias("n"))
+    """Texts set into a page with their marks as entities come out of it again."""
+    esc = F.coalesce("text", F.lit(""))
+    for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        esc = F.replace(esc, F.lit(k), F.lit(v))
+    page = F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.coalesce("title", F.lit("")), F.lit("</p><script>x()</script><p>"), esc, F.lit("</p></body></html>"))
+    return table(spark, d, "documents").where("not coalesce(title, '') like '%<%' and not coalesce(title, '') like '%&%'").select("doc_id", F.md5(landing.plain_text(page)).alias("text"))
 
 
 NAMES = [
     "news_components", "daily_theme_scores", "daily_sector_scores", "weekly_scores", "top_ids", "weekly_top_ids", "secular_scores", "secular_periods", "combined_diagnostics", "rank_changes", "near_dup_pairs",
-    "near_dup_classes", "event_clusters", "quality_gate", "keyword_salience", "selection_priority", "quota_topk", "rule_classify", "theme_explode", "guardrail_anomalies", "json_extract", "usage_stats",
-    "input_quality_rollup", "source_coverage", "concentration", "classification_quality", "accumulation_run", "recurring_ids", "replay_days", "confidence_ledger", "confidence_buckets", "upsert_latest",
+    "near_dup_classes", "event_clusters", "priority_events", "quality_gate", "keyword_salience", "selection_priority", "quota_topk", "rule_classify", "theme_explode", "guardrail_anomalies", "json_extract", "usage_stats",
+    "input_quality_rollup", "source_coverage", "concentration", "classification_quality", "accumulation_run", "recurring_ids", "replay_days", "confidence_ledger", "upsert_latest",
     "upsert_or_key", "retention_null", "content_hash", "html_text",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -293,7 +299,17 @@ TOPS = "tp AS (SELECT sd, key, i, row_number() OVER (PARTITION BY sd, key ORDER
 RULE = "CASE WHEN contains(t, 'oil') OR contains(t, 'energy') THEN 1 WHEN contains(t, 'fed') OR contains(t, 'rate') OR contains(t, 'central bank') THEN 2 ELSE 3 END"
 RULED = f"r AS (SELECT item_id, {RULE} AS k FROM (SELECT item_id, lower(concat_ws(' ', title, body)) AS t FROM sample_news_items))"
 SEC = "sl AS (SELECT *, greatest(-0.2, least(0.2, raw * conf * pow(0.5, date_diff('day', d, DATE '2024-01-31') / 45.0))) AS a, date_diff('day', d, DATE '2024-01-31') AS age FROM nw WHERE date_diff('day', d, DATE '2024-01-31') BETWEEN 0 AND 180)"
+# greedy leaders over an order of items (o: k, id, tk): each step joins the earliest leader it is linked to, else leads
+LEAD = """x AS (SELECT k, len(tk) AS n, unnest(tk) AS t FROM o), pr AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2),
+nb AS (SELECT b, list(a) AS before FROM pr WHERE c / (na + nb - c) >= 0.6 - 1e-12 GROUP BY 1),
+step AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ls, 0::BIGINT AS lead UNION ALL
+ SELECT k + 1, CASE WHEN m IS NULL THEN list_append(ls, k + 1) ELSE ls END, coalesce(m, k + 1) FROM (SELECT step.k, ls, list_min(list_filter(coalesce(before, []), lambda y: list_contains(ls, y))) AS m FROM step LEFT JOIN nb ON nb.b = step.k + 1 WHERE step.k < (SELECT count(*) FROM o))),
+ev AS (SELECT o.id, l.id AS event_id FROM step JOIN o ON o.k = step.k JOIN o l ON l.k = step.lead)"""
 SQL = {
+    "event_clusters": f"WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id AS id, {TOKS} AS tk FROM documents), {LEAD} SELECT id, event_id FROM ev",
+    "priority_events": f"""WITH RECURSIVE b AS (SELECT doc_id AS id, {TOKS} AS tk, NOT ({GATE}) AS bad, round((CASE WHEN lang = 'en' THEN 1.2 ELSE 1.0 END)::DOUBLE * (1 + least({HITS}, 6)) * pow(0.5, greatest(0, coalesce((epoch_us(TIMESTAMP '2026-12-31') - epoch_us(published_at)) / 86400000000.0, 4000)) / 400.0), 6) AS base FROM documents),
+        o AS (SELECT row_number() OVER (ORDER BY base DESC, id) AS k, id, tk, base FROM b WHERE NOT bad), {LEAD}
+        SELECT b.id, coalesce(event_id, b.id) AS event_id, CASE WHEN event_id <> b.id THEN 0.4 ELSE 1.0 END::DOUBLE AS novelty, round(CASE WHEN bad THEN 0 WHEN event_id <> b.id THEN base * 0.4 ELSE base END, 9)::DOUBLE AS score, NOT bad AND base * CASE WHEN event_id <> b.id THEN 0.4 ELSE 1.0 END >= 0.05 AS eligible FROM b LEFT JOIN ev USING (id)""",
     "news_components": f"WITH {LIVE} SELECT i AS news_id, key, sd AS score_date, round(raw, 9) AS raw, round(pow(0.5, date_diff('day', d, sd) / 7.0), 9) AS freshness, round(a, 9) AS adjusted FROM cp",
     "daily_theme_scores": f"WITH {DAY}, k1 AS (SELECT sd, key, greatest(-0.3, least(0.3, sum(a))) AS s FROM cp GROUP BY sd, key, src), k2 AS (SELECT sd, key, sum(s) AS t FROM k1 GROUP BY 1, 2) SELECT sd AS score_date, key, round(raw_score, 9) AS raw_score, round(t, 9) AS adjusted_score, item_count, round(ac, 9) AS avg_confidence, round(asv, 9) AS avg_severity FROM dn JOIN k2 USING (sd, key)",
     "daily_sector_scores": f"WITH {DAY} SELECT sd AS score_date, key, {CELLS}, pos AS positive_count, neg AS negative_count, neu AS neutral_count, round(ac, 9) AS avg_confidence FROM dd",
@@ -311,8 +327,8 @@ SQL = {
     "selection_priority": f"WITH {POOL} SELECT doc_id, grp, round(score, 9) AS score FROM pool",
     "quota_topk": f"""WITH {POOL}, e AS (SELECT * FROM pool WHERE score > 0), g AS (SELECT grp, CASE grp WHEN 'tifaris_wire' THEN 3.0 WHEN 'pehin_archive' THEN 2.0 ELSE 1.0 END AS w FROM (SELECT DISTINCT grp FROM e)), q AS (SELECT grp, floor(50 * w / sum(w) OVER ()) AS q FROM g),
         r AS (SELECT e.*, row_number() OVER (PARTITION BY grp ORDER BY score DESC, doc_id) <= q AS head FROM e JOIN q USING (grp)), k AS (SELECT *, row_number() OVER (ORDER BY head DESC, score DESC, doc_id) AS k FROM r) SELECT doc_id, grp, round(score, 9) AS score FROM k WHERE k <= 50""",
-    "rule_classify": f"WITH {RULED} SELECT item_id, CASE k WHEN 1 THEN 'commodity_pressure' WHEN 2 THEN 'monetary_tightening' ELSE 'growth_slowdown' END AS theme, CASE k WHEN 1 THEN 'energy' WHEN 2 THEN 'real_estate' ELSE 'industrials' END AS sector, CASE k WHEN 1 THEN 'tailwind' WHEN 2 THEN 'headwind' ELSE 'neutral' END AS impact FROM r",
-    "theme_explode": f"WITH {RULED} SELECT CASE k WHEN 1 THEN 'commodity_pressure' WHEN 2 THEN 'monetary_tightening' ELSE 'growth_slowdown' END AS theme, CASE k WHEN 3 THEN 'negative' ELSE 'positive' END AS direction, count(*) AS n FROM r GROUP BY 1, 2 UNION ALL SELECT 'all', 'neutral', count(*) FROM r",
+    "rule_classify": f"WITH {RULED} SELECT item_id, CASE k WHEN 1 THEN 'commodity_pressure' WHEN 2 THEN 'monetary_tightening' ELSE 'growth_slowdown' END AS theme, CASE k WHEN 3 THEN 'unclear' ELSE 'positive' END AS direction, CASE k WHEN 1 THEN 0.6 WHEN 2 THEN 0.5 ELSE 0.2 END::DOUBLE AS severity, CASE k WHEN 3 THEN 'unclear' ELSE 'short_term' END AS horizon, CASE k WHEN 1 THEN 'energy' WHEN 2 THEN 'real_estate' END AS sector, CASE k WHEN 1 THEN 'tailwind' WHEN 2 THEN 'headwind' END AS impact, CASE k WHEN 1 THEN 0.5 WHEN 2 THEN -0.4 END::DOUBLE AS score FROM r",
+    "theme_explode": f"WITH {RULED} SELECT CASE k WHEN 1 THEN 'commodity_pressure' WHEN 2 THEN 'monetary_tightening' ELSE 'growth_slowdown' END AS theme, CASE k WHEN 3 THEN 'unclear' ELSE 'positive' END AS direction, count(*) AS n FROM r GROUP BY 1, 2 UNION ALL SELECT 'all', 'neutral', count(*) FROM r",
     "guardrail_anomalies": f"WITH {FEED}, x(t, s, g) AS (VALUES ('view', 1, 1), ('view', 2, -1), ('click', 3, 1), ('error', 4, -1)), j AS (SELECT i, src, key, conf, sg * g AS want, CASE i % 4 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS got FROM nw JOIN x ON src = t AND key = s) SELECT i AS news_id, src AS theme_id, key AS sector_id, CASE WHEN want > 0 THEN 'tailwind' ELSE 'headwind' END AS expected, CASE WHEN got > 0 THEN 'tailwind' ELSE 'headwind' END AS observed, round(conf, 9) AS confidence FROM j WHERE want <> 0 AND got <> 0 AND want <> got AND conf >= 0.6",
     "json_extract": "SELECT event_id, (props->>'$.k')::DOUBLE AS k, coalesce(props->>'$.source_group', 'unmapped') AS source_group FROM events",
     "usage_stats": "SELECT event_type, count(*) AS n, round(sum(value), 9) AS total, round(max(value), 9) AS most, round(quantile_disc(value, 0.95), 9) AS p95 FROM events GROUP BY 1",
@@ -324,9 +340,8 @@ SQL = {
     "recurring_ids": f"WITH {LIVE}, {TOPS} SELECT i::VARCHAR AS id, count(*) AS n FROM tp WHERE r <= 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "replay_days": "WITH n AS (SELECT ingested_at::DATE AS day, count(*) AS n FROM sample_news_items GROUP BY 1) SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS so_far FROM n",
     "confidence_ledger": "SELECT report_row_id, top_news_id, section FROM news_score_report WHERE top_news_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY top_news_id, section ORDER BY generated_at DESC, report_row_id DESC) = 1",
-    "confidence_buckets": f"WITH {FEED}, b AS (SELECT CASE WHEN conf <= 0.3 THEN '0.0-0.3' WHEN conf <= 0.5 THEN '0.3-0.5' WHEN conf <= 0.8 THEN '0.5-0.8' ELSE '0.8-1.0' END AS bucket, count(*) AS n, avg((raw > 0)::INT) AS h, avg(raw) AS a FROM nw WHERE sg <> 0 GROUP BY 1) SELECT v.bucket, coalesce(n, 0) AS n, round(h, 9) AS hit_rate, round(a, 9) AS avg_raw FROM (VALUES ('0.0-0.3'), ('0.3-0.5'), ('0.5-0.8'), ('0.8-1.0'), ('over')) v(bucket) LEFT JOIN b USING (bucket)",
     "upsert_latest": "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders",
     "upsert_or_key": "WITH n AS (SELECT * FROM sample_news_items WHERE provider = 'rss') SELECT item_id, provider FROM n UNION ALL SELECT item_id, provider FROM sample_news_items o WHERE provider <> 'rss' AND NOT EXISTS (SELECT 1 FROM n WHERE n.item_id = o.item_id) AND NOT EXISTS (SELECT 1 FROM n WHERE n.title = o.title)",
     "retention_null": "SELECT item_id, CASE WHEN ingested_at < TIMESTAMP '2025-01-01' THEN NULL ELSE length(body)::DOUBLE END AS kept FROM sample_news_items",
-    "content_hash": "SELECT item_id, sha256(lower(trim(coalesce(source, ''))) || chr(10) || strftime(date_trunc('second', ingested_at), '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || trim(coalesce(title, '')) || chr(10) || trim(coalesce(body, ''))) AS content_hash FROM sample_news_items",
+    "content_hash": "WITH n AS (SELECT *, CASE WHEN item_id % 5 <> 0 THEN ingested_at + to_milliseconds((item_id % 3) * 250) END AS t FROM sample_news_items) SELECT item_id, sha256(lower(trim(coalesce(source, ''))) || chr(10) || coalesce(strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(t) % 1000000 = 0 THEN '' ELSE strftime(t, '.%f') END || '+00:00', '') || chr(10) || trim(coalesce(title, '')) || chr(10) || trim(coalesce(body, ''))) AS content_hash FROM n",
 }
