@@ -77,7 +77,10 @@ def forward_returns(scores: DataFrame, prices: DataFrame, benchmark: str, horizo
     keys = ["entity_id", "score_date"]
     probes = scores.select(*keys, roles.alias("p")).select(*keys, F.col("p.h").alias("h"), F.col("p.role").alias("role"), F.col("p.tk").alias("_tk")).withColumn("at", F.add_months("score_date", F.col("h")))
     facts = prices.where("close is not null").select(F.col("ticker").alias("_tk"), "date", F.col("date").alias("price_date"), "close")
-    met = carry_ahead(probes.where("_tk is not null"), facts, ["_tk"], "at", "date", ["price_date", "close"]).where(F.datediff("price_date", "at") <= reach_days)
+    # each ticker and day is looked up once, however many entities ask; the benchmark's look-ups are then as few as its days
+    asked = probes.where("_tk is not null").select("_tk", "at").distinct()
+    found = carry_ahead(asked, facts, ["_tk"], "at", "date", ["price_date", "close"]).where(F.datediff("price_date", "at") <= reach_days)
+    met = probes.join(found, ["_tk", "at"])
     wide = met.groupBy(*keys).agg(*[F.max(F.when((F.col("h") == h) & (F.col("role") == r), F.col("close"))).alias(f"{r}_{h}") for h in steps for r in ("own", "bench")])
     out = scores.join(wide, keys, "left")
     ret = lambda r, h: F.try_divide(F.col(f"{r}_{h}"), F.col(f"{r}_0")) - 1

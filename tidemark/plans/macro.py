@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, ranking, scoring, series, state
 from tidemark.params import POLARITIES, Feature, Source, Weighted, check
-from tidemark.session import durable, table
+from tidemark.session import durable, shared, table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SOURCES = [Source(p, "monthly", publication_lag_days=20) for p in PRIORITIES]
@@ -62,16 +62,17 @@ class Chain:
     health: DataFrame
 
 
+@shared
 def chain(spark: SparkSession, d: str) -> Chain:
     check(SOURCES, FEATURES, DIMENSIONS)
     # what several consumers read is written once; each is bounded by the calendar and the configuration
     f = durable(series.features(obs_monthly(spark, d), SOURCES, FEATURES), "features")
-    seen = asof.asof_features(asof.month_spine(spark, START, END), f, FEATURES, SOURCES, MAX_LAG)
+    seen = durable(asof.asof_features(asof.month_spine(spark, START, END), f, FEATURES, SOURCES, MAX_LAG), "seen")
     dc = scoring.contributions(seen.select(F.col("feature_id").alias("input_id"), F.col("evaluation_date").alias("date"), F.col("normalized_value").alias("value"), "valid", "reason"), DIMENSIONS, "missing_feature")
     dims = durable(scoring.rolled(dc, "features"), "dimensions")
     rc = scoring.contributions(dims.select(F.col("output_id").alias("input_id"), "date", F.col("score").alias("value"), "valid", "reason"), REGIMES, "missing_dimension")
     reg = durable(scoring.probabilities(scoring.rolled(rc, "dimensions"), ORDER), "states")
-    return Chain(f, seen, dc, dims, rc, reg, scoring.state_health(reg))
+    return Chain(f, seen, dc, dims, rc, reg, durable(scoring.state_health(reg), "health"))
 
 
 def latest_states(spark: SparkSession, d: str) -> DataFrame:
@@ -153,11 +154,12 @@ def polarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x.select("c_custkey", *[scoring.polarity(F.lit(p), F.col("x")).alias(p) for p in POLARITIES]))
 
 
+@shared
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     c = chain(spark, d)
     held = state.held_states(state.leaders(c.regimes, c.health), THETA, MONTHS, BELOW)
     prob = c.regimes.select("date", F.col("output_id").alias("reported_state"), F.col("probability").alias("reported_probability"))
-    return held.join(prob, ["date", "reported_state"], "left")
+    return durable(held.join(prob, ["date", "reported_state"], "left"), "timeline")
 
 
 def regime_timeline_top2(spark: SparkSession, d: str) -> DataFrame:
@@ -188,6 +190,7 @@ def stacked_bands(spark: SparkSession, d: str) -> DataFrame:
     return rounded(chain(spark, d).regimes.where("probability is not null").select("date", "output_id", F.sum("probability").over(w).alias("upper")))
 
 
+@shared
 def sectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = chain(spark, d)
     m = [(e, "regime_prior", r, w) for e, b, h, _, _ in ENTITIES for r, w in (("boom", b), ("heat", h))] + [(e, "dimension_exposure", x, w) for e, _, _, g, p in ENTITIES for x, w in (("growth", g), ("pressure", p))]
@@ -195,7 +198,8 @@ def sectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = c.regimes.where("probability is not null").select("date", F.lit("regime_prior").alias("component_type"), F.col("output_id").alias("component_id"), F.col("probability").alias("input_value"))
     v = v.unionByName(c.dims.where("valid").select("date", F.lit("dimension_exposure").alias("component_type"), F.col("output_id").alias("component_id"), F.col("score").alias("input_value")))
     comps = scoring.sector_components(c.health.select("date"), matrix, v)
-    return comps, scoring.sector_scores(comps, c.health.select("date", F.col("confidence").alias("macro_confidence")))
+    comps = durable(comps, "components")
+    return comps, durable(scoring.sector_scores(comps, c.health.select("date", F.col("confidence").alias("macro_confidence"))), "sectors")
 
 
 def sector_components(spark: SparkSession, d: str) -> DataFrame:
@@ -206,20 +210,23 @@ def sector_scores(spark: SparkSession, d: str) -> DataFrame:
     return loose(rounded(sectors(spark, d)[1].select("entity_id", "date", "raw_score", "adjusted_score", "rank", "missing", "valid")), "rank")
 
 
+@shared
 def prices(spark: SparkSession, d: str) -> DataFrame:
+    """(ticker, date, close): average price of each brand and of all, both from one scan. One row per ticker and day."""
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.to_date("l_shipdate").alias("date"), "l_extendedprice")
-    j = li.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
-    own = j.groupBy(F.col("p_brand").alias("ticker"), "date").agg(F.avg("l_extendedprice").alias("close"))
-    return own.unionByName(li.groupBy(F.lit("ALL").alias("ticker"), "date").agg(F.avg("l_extendedprice").alias("close")))
+    j = li.join(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("ticker")), "p_partkey", "left")
+    both = j.groupingSets([["ticker", "date"], ["date"]], "ticker", "date").agg(F.avg("l_extendedprice").alias("close"), F.grouping("ticker").alias("_all"))
+    return durable(both.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("ticker")).alias("ticker"), "date", "close").where("ticker is not null"), "prices")
 
 
+@shared
 def returns(spark: SparkSession, d: str) -> DataFrame:
     p = prices(spark, d)
     brands = p.where("ticker <> 'ALL'").select(F.col("ticker").alias("entity_id")).distinct().withColumn("ticker", F.col("entity_id"))
     dates = asof.month_spine(spark, "1996-01-01", "2001-12-01").select(F.col("evaluation_date").alias("score_date"))
     # a score of each brand and date that both sides can compute alike
     s = brands.crossJoin(F.broadcast(dates)).withColumn("score", ((F.length("entity_id") * 7 + F.ascii(F.substring("entity_id", -1, 1)) * 13 + F.ascii(F.substring("entity_id", -2, 1)) * 5 + F.month("score_date") * 11) % 17).cast("double"))
-    return asof.forward_returns(s, p, "ALL")
+    return durable(asof.forward_returns(s, p, "ALL"), "returns")
 
 
 def forward_returns(spark: SparkSession, d: str) -> DataFrame:

@@ -300,15 +300,15 @@ RULE = "CASE WHEN contains(t, 'oil') OR contains(t, 'energy') THEN 1 WHEN contai
 RULED = f"r AS (SELECT item_id, {RULE} AS k FROM (SELECT item_id, lower(concat_ws(' ', title, body)) AS t FROM sample_news_items))"
 SEC = "sl AS (SELECT *, greatest(-0.2, least(0.2, raw * conf * pow(0.5, date_diff('day', d, DATE '2024-01-31') / 45.0))) AS a, date_diff('day', d, DATE '2024-01-31') AS age FROM nw WHERE date_diff('day', d, DATE '2024-01-31') BETWEEN 0 AND 180)"
 # greedy leaders over an order of items (o: k, id, tk): each step joins the earliest leader it is linked to, else leads
-LEAD = """x AS (SELECT k, len(tk) AS n, unnest(tk) AS t FROM o), pr AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2),
-nb AS (SELECT b, list(a) AS before FROM pr WHERE c / (na + nb - c) >= 0.6 - 1e-12 GROUP BY 1),
+LEAD = """x AS (SELECT k, len(tk) AS n, unnest(tk) AS t FROM o), pr AS MATERIALIZED (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2),
+nb AS MATERIALIZED (SELECT b, list(a) AS before FROM pr WHERE c / (na + nb - c) >= 0.6 - 1e-12 GROUP BY 1),
 step AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ls, 0::BIGINT AS lead UNION ALL
  SELECT k + 1, CASE WHEN m IS NULL THEN list_append(ls, k + 1) ELSE ls END, coalesce(m, k + 1) FROM (SELECT step.k, ls, list_min(list_filter(coalesce(before, []), lambda y: list_contains(ls, y))) AS m FROM step LEFT JOIN nb ON nb.b = step.k + 1 WHERE step.k < (SELECT count(*) FROM o))),
 ev AS (SELECT o.id, l.id AS event_id FROM step JOIN o ON o.k = step.k JOIN o l ON l.k = step.lead)"""
 SQL = {
-    "event_clusters": f"WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id AS id, {TOKS} AS tk FROM documents), {LEAD} SELECT id, event_id FROM ev",
+    "event_clusters": f"WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id AS id, {TOKS} AS tk FROM documents), {LEAD} SELECT id, event_id FROM ev",
     "priority_events": f"""WITH RECURSIVE b AS (SELECT doc_id AS id, {TOKS} AS tk, NOT ({GATE}) AS bad, round((CASE WHEN lang = 'en' THEN 1.2 ELSE 1.0 END)::DOUBLE * (1 + least({HITS}, 6)) * pow(0.5, greatest(0, coalesce((epoch_us(TIMESTAMP '2026-12-31') - epoch_us(published_at)) / 86400000000.0, 4000)) / 400.0), 6) AS base FROM documents),
-        o AS (SELECT row_number() OVER (ORDER BY base DESC, id) AS k, id, tk, base FROM b WHERE NOT bad), {LEAD}
+        o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY base DESC, id) AS k, id, tk, base FROM b WHERE NOT bad), {LEAD}
         SELECT b.id, coalesce(event_id, b.id) AS event_id, CASE WHEN event_id <> b.id THEN 0.4 ELSE 1.0 END::DOUBLE AS novelty, round(CASE WHEN bad THEN 0 WHEN event_id <> b.id THEN base * 0.4 ELSE base END, 9)::DOUBLE AS score, NOT bad AND base * CASE WHEN event_id <> b.id THEN 0.4 ELSE 1.0 END >= 0.05 AS eligible FROM b LEFT JOIN ev USING (id)""",
     "news_components": f"WITH {LIVE} SELECT i AS news_id, key, sd AS score_date, round(raw, 9) AS raw, round(pow(0.5, date_diff('day', d, sd) / 7.0), 9) AS freshness, round(a, 9) AS adjusted FROM cp",
     "daily_theme_scores": f"WITH {DAY}, k1 AS (SELECT sd, key, greatest(-0.3, least(0.3, sum(a))) AS s FROM cp GROUP BY sd, key, src), k2 AS (SELECT sd, key, sum(s) AS t FROM k1 GROUP BY 1, 2) SELECT sd AS score_date, key, round(raw_score, 9) AS raw_score, round(t, 9) AS adjusted_score, item_count, round(ac, 9) AS avg_confidence, round(asv, 9) AS avg_severity FROM dn JOIN k2 USING (sd, key)",

@@ -98,6 +98,22 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if fs.getContentSummary(p).getLength() <= most else kept
 
 
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(build):
+    """``build(spark, folder)`` once per session and folder: what many queries draw on is made, and written, a single time."""
+
+    def get(spark: SparkSession, folder: str):
+        key = (build.__module__, build.__name__, spark.sparkContext.applicationId, folder)
+        if key not in _SHARED:
+            _SHARED[key] = build(spark, folder)
+        return _SHARED[key]
+
+    get.__doc__, get.__name__ = build.__doc__, build.__name__
+    return get
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
