@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import running
-from tidemark.session import durable
+from tidemark.session import durable, shuffle_width
 
 # Offsets in minutes of zone abbreviations, and zones that names without season stand for.
 ABBREVIATIONS = {
@@ -189,13 +189,30 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_src": b["_src"][some], "_id": b["_id"][some], "_o": [[{"fmt": f, "us": u, "cost": c} for f, u, c in x] for x in o if x]})
 
 
-def _decode(stretch: pd.DataFrame) -> pd.DataFrame:
-    """Readings of the ambiguous records of one stretch: its anchors, first and last, are there only to be followed and met."""
-    s = stretch.sort_values(["_id", "_edge"], kind="stable")
-    options = [[(o["fmt"], o["us"], o["cost"]) for o in x] for x in s["_o"]]
-    path = best_path(options)
-    got = [(i, o[k][0], o[k][1], len(o)) for i, o, k in zip(s["_id"], options, path) if len(o) > 1]
-    return pd.DataFrame(got, columns=["id", "format", "utc_us", "n_readings"])
+CHOSEN = "id bigint, format string, utc_us bigint, n_readings bigint"
+
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Readings of the ambiguous records of stretches that come in order: their anchors, first and last, are there only to be followed and met."""
+    at, ids, options = None, [], []
+
+    def chosen() -> list[tuple[int, str, int, int]]:
+        path = best_path(options) if options else []
+        return [(i, o[k][0], o[k][1], len(o)) for i, o, k in zip(ids, options, path) if len(o) > 1]
+
+    def frame(got: list[tuple[int, str, int, int]]) -> pd.DataFrame:
+        return pd.DataFrame(got, columns=["id", "format", "utc_us", "n_readings"]).astype({"id": "int64", "format": "object", "utc_us": "int64", "n_readings": "int64"})
+
+    for b in batches:
+        got = []
+        for src, seg, i, o in zip(b["_src"], b["_seg"], b["_id"], b["_o"]):
+            if (src, seg) != at:
+                got += chosen()
+                at, ids, options = (src, seg), [], []
+            ids.append(i)
+            options.append([(x["fmt"], x["us"], x["cost"]) for x in o])
+        yield frame(got)
+    yield frame(chosen())
 
 
 def normalise(df: DataFrame, id_col: str, text_col: str, source_col: str, zone_col: str, order_col: str) -> DataFrame:
@@ -216,7 +233,8 @@ def normalise(df: DataFrame, id_col: str, text_col: str, source_col: str, zone_c
     open_ = durable(at.where("size(_o) > 1").select("_src", "_seg").distinct(), "open")
     ends = at.where("size(_o) = 1").withColumn("_seg", F.col("_seg") - 1).join(open_, ["_src", "_seg"], "left_semi").withColumn("_edge", F.lit(2))
     starts = at.join(open_, ["_src", "_seg"], "left_semi").withColumn("_edge", F.when(F.size("_o") == 1, 0).otherwise(1))
-    chosen = starts.unionByName(ends).groupBy("_src", "_seg").applyInPandas(_decode, "id bigint, format string, utc_us bigint, n_readings bigint")
+    met = starts.unionByName(ends).repartition(max(2, shuffle_width(df.sparkSession)), "_src", "_seg").sortWithinPartitions("_src", "_seg", "_id", "_edge")
+    chosen = met.mapInPandas(_decode, CHOSEN)
     one = F.col("_o")[0]
     alone = at.where("size(_o) = 1").select(F.col("_id").alias("id"), one["fmt"].alias("format"), one["us"].alias("utc_us"), F.lit(1).cast("long").alias("n_readings"))
     return alone.unionByName(chosen)
