@@ -141,7 +141,7 @@ SELECT item_id FROM r WHERE k > cap
 """
 
 P1_STATE_SQL = P1_SQL[: P1_SQL.index("SELECT item_id FROM r")].replace("SELECT n.item_id, cap,", "SELECT n.item_id, n.batch_no, sid, avg_confidence, cap,") + """
-SELECT batch_no AS load, sid::BIGINT AS contributor, count(*) AS kept_n, max_by(avg_confidence, k) AS cut_q, max_by(item_id, k) AS cut_id FROM r WHERE k <= cap GROUP BY 1, 2
+SELECT batch_no AS load, sid::BIGINT AS contributor, count(*) AS kept_n, first(avg_confidence ORDER BY k DESC) AS cut_q, first(item_id ORDER BY k DESC) AS cut_id FROM r WHERE k <= cap GROUP BY 1, 2
 """
 
 # pairs of copies and near-copies, then the least record each can reach
