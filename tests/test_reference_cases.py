@@ -221,7 +221,7 @@ def test_guardrail_and_repair(spark):
     t = spark.createDataFrame([(k, "t", "positive") for k in (1, 2, 3, 4, 5)], "news_id long, theme_id string, direction string")
     w = spark.createDataFrame([("t", "e", 1)], "theme_id string, sector_id string, sign int")
     assert [(r.news_id, r.expected) for r in classify.guardrail_anomalies(i, t, w, 0.6).collect()] == [(1, "tailwind")]
-    r = spark.createDataFrame([(" Bullish ",), ("MIXED",), ("what",), (None,)], "v string").select(classify.repaired(F.col("v")).alias("r")).collect()
+    r = spark.createDataFrame([(" Positive_For_Macro ",), ("MIXED",), ("bullish",), (None,)], "v string").select(classify.repaired(F.col("v"), "theme_direction").alias("r")).collect()
     assert [x.r for x in r] == ["positive", "mixed", None, None]
 
 

@@ -45,6 +45,22 @@ def held_states(timeline: DataFrame, threshold: float, months: int = 1, only_bel
     return timeline.join(folded.select(*keys, F.col("r.date").alias("date"), F.col("r.state").alias("reported_state"), F.col("r.reason").alias("filter_reason")), [*keys, "date"])
 
 
+def next_held(held: tuple[str | None, str | None, int], raw: str | None, confidence: float, threshold: float, months: int, only_below: float | None = None) -> tuple[tuple[str | None, str | None, int], str]:
+    """((current, pending, count), reason) after one period: the step of ``held_states`` for rows that come one by one. No raw state is an invalid period."""
+    current, pending, count = held
+    if raw is None:
+        return held, "invalid"
+    if current is None:
+        return (raw, None, 0), "initial_state"
+    if raw == current:
+        return (current, None, 0), "raw_signal_confirmed"
+    if not confidence >= threshold:
+        return (current, None, 0), "held_below_min_confidence"
+    count = count + 1 if raw == pending else 1
+    need = months if only_below is None or confidence < only_below else 1
+    return ((raw, None, 0), "switch_confirmed") if count >= need else ((current, raw, count), "awaiting_confirmation")
+
+
 def transitions(timeline: DataFrame) -> DataFrame:
     """(transition_date, from_state, to_state, from_probability, to_probability): reported changes between successive valid periods.
 
