@@ -28,6 +28,8 @@ BITS, EPOCHS, LEAST_STEPS, RATE, RIDGE, SEED = 18, 12, 1500, 0.5, 1e-5, 7
 #: One source in so many is left out of the fit for validation.
 HOLD_OUT = 5
 THRESHOLD = 0.5
+#: Documents of the sample whose features are made at a time.
+STRETCH = 500
 #: Characters under which a page without a label is left out of the fit.
 SHORT = 300
 #: Tokens up to which a sentence is judged as one.
@@ -136,7 +138,7 @@ def _rows(h: np.ndarray, kinds: np.ndarray, unit: np.ndarray, extra: list[int],
     every, owner = np.concatenate([x for x, _ in parts]), np.concatenate([u for _, u in parts])
     order = np.argsort(owner, kind="stable")
     start = np.searchsorted(owner[order], np.arange(n + 1))
-    return Rows((every[order] & ((1 << BITS) - 1)).astype(np.int64), start)
+    return Rows((every[order] & ((1 << BITS) - 1)).astype(np.int32), start)
 
 
 def _kind(tok: str) -> int:
@@ -290,16 +292,31 @@ def _held_out(source: str | None) -> bool:
     return zlib.crc32((source or "").encode()) % HOLD_OUT == 0
 
 
+def _joined(parts: list[Rows]) -> Rows:
+    ends = np.cumsum([0, *(len(p.flat) for p in parts)])
+    return Rows(np.concatenate([p.flat for p in parts]), np.concatenate([[0], *(p.start[1:] + e for p, e in zip(parts, ends))]))
+
+
 def _training(rows: pd.DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
-    """Units of the sample and their weak labels."""
-    texts, titles = rows["text"].tolist(), [t if isinstance(t, str) else None for t in rows["title"]]
-    u = units(texts, titles, {})
-    ys = np.array([weak_sentence(s) for s in u.sentences], dtype=float)
-    yl = np.zeros(len(u.lines))
-    cut = np.searchsorted(u.line_doc, np.arange(len(texts) + 1))
-    for k, title in enumerate(titles):
-        yl[cut[k] : cut[k + 1]] = weak_lines(u.lines[cut[k] : cut[k + 1]], title)
-    return u, ys, yl
+    """Units of the sample and their weak labels, made in stretches of documents, so that the driver holds one stretch's lists at a time."""
+    known: dict[str, int] = {}
+    got: list[tuple[Units, np.ndarray, np.ndarray]] = []
+    for at in range(0, max(len(rows), 1), STRETCH):
+        part = rows.iloc[at : at + STRETCH]
+        titles = [t if isinstance(t, str) else None for t in part["title"]]
+        u = units(part["text"].tolist(), titles, known)
+        ys = np.array([weak_sentence(s) for s in u.sentences], dtype=float)
+        yl = np.zeros(len(u.lines))
+        cut = np.searchsorted(u.line_doc, np.arange(len(titles) + 1))
+        for k, title in enumerate(titles):
+            yl[cut[k] : cut[k + 1]] = weak_lines(u.lines[cut[k] : cut[k + 1]], title)
+        got.append((Units(u.sentences, u.lines, u.sentence_doc + at, u.line_doc + at, u.sentence_rows, u.line_rows), ys, yl))
+    us = [g[0] for g in got]
+    every = Units(
+        [s for u in us for s in u.sentences], [x for u in us for x in u.lines], np.concatenate([u.sentence_doc for u in us]), np.concatenate([u.line_doc for u in us]),
+        _joined([u.sentence_rows for u in us]), _joined([u.line_rows for u in us]),
+    )
+    return every, np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
 
 
 def _told(u: Units, ys: np.ndarray, yl: np.ndarray, chars: np.ndarray) -> np.ndarray:
