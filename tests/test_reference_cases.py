@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +209,41 @@ def test_leader_clusters_match_greedy_loop(spark):
     assert {r.id: r.event_id for r in text.leaders(*text.similar_classes(d, 0.6)).collect()} == want
 
 
+def template_sets(n, names=3):
+    """Sets of sentences in common words, each with rare names; every tenth is an earlier one with a few words changed, some of those without any of its names."""
+    rnd, said = random.Random(7), [[f"s{k}w{j}" for j in range(9)] for k in range(40)]
+    docs = []
+    for i in range(n):
+        if i % 10 == 9:
+            old = rnd.choice(docs)
+            kept = [t for t in old if not t.startswith("n")] if i % 20 == 9 else old[:-2]
+            docs.append(list(dict.fromkeys([*kept, *(f"n{rnd.randrange(4 * n)}" for _ in range(2))])))
+        else:
+            docs.append([t for k in rnd.sample(range(40), 8) for t in said[k]] + list({f"n{rnd.randrange(4 * n)}" for _ in range(names)}))
+    return docs
+
+
+def alike(docs):
+    return {(i, j) for j in range(len(docs)) for i in range(j) if len(x := {*docs[i]} & {*docs[j]}) / (len(docs[i]) + len(docs[j]) - len(x)) >= 0.6}
+
+
+def test_similar_classes_with_and_without_a_rare_word_in_common(spark):
+    docs = template_sets(300)
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, toks array<string>")
+    want = alike(docs)
+    assert any(not {t for t in docs[i] if t[0] == "n"} & {*docs[j]} for i, j in want)
+    for hot in (None, 5, 1):
+        assert {(r.a, r.b) for r in text.similar_classes(d, 0.6, hot)[0].collect()} == want
+
+
+def test_candidates_of_common_words_stay_few(spark):
+    docs = template_sets(1500)
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, toks array<string>")
+    got = {(r.a, r.b) for r in text.candidates(d, 0.6, 30).collect()}
+    want = {(r.a, r.b) for r in text.similar_classes(d, 0.6, 30)[0].collect()}
+    assert want <= got and len(got) < 4 * len(want) + 100 < 0.01 * len(docs) ** 2
+
+
 def test_leaders_of_a_long_chain(spark):
     # each item is similar to its neighbours only, and only the least open one can be decided
     n = 54
