@@ -244,6 +244,49 @@ def test_candidates_of_common_words_stay_few(spark):
     assert want <= got and len(got) < 4 * len(want) + 100 < 0.01 * len(docs) ** 2
 
 
+def block_of(n, seed, slack):
+    """A block of random sets of 70 to 90 common tokens, differing in the last four words only; every tenth is another with two bits turned."""
+    import numpy as np
+
+    rnd = np.random.default_rng(seed)
+    r = np.zeros(n, text.KIND)
+    r["id"], r["h"], r["slack"] = np.arange(n) + seed * n, rnd.integers(70, 91, n), rnd.uniform(*slack, n)
+    r["w"][:, 2:] = rnd.integers(0, 2**63, (n, text.WORDS - 2), dtype=np.uint64)
+    r["w"][9::10] = r["w"][: len(r[9::10])]
+    r["w"][9::10, 2] ^= np.uint64(5)
+    r["h"][9::10] = r["h"][: len(r[9::10])] + 1
+    return r
+
+
+@pytest.mark.parametrize("slack", [(-4, 9), (-20, 40), (30, 80)])
+def test_blocks_compared_as_pair_by_pair(slack):
+    import numpy as np
+
+    blocks = block_of(700, 0, slack), block_of(2300, 1, slack)
+    blocks[1]["w"][:700], blocks[1]["h"][:700] = blocks[0]["w"], blocks[0]["h"]
+    for x, y in (blocks, blocks[:1] * 2):
+        turned = np.bitwise_count(x["w"][:, None] ^ y["w"][None]).astype(int).sum(axis=2)
+        most = x["slack"][:, None] + y["slack"][None] + 1e-6
+        fits = (turned <= most) & (np.abs(x["h"][:, None] - y["h"][None]) <= most) & (x["id"][:, None] != y["id"][None])
+        want = {(min(a, b), max(a, b)) for a, b in zip(x["id"][np.nonzero(fits)[0]].tolist(), y["id"][np.nonzero(fits)[1]].tolist())}
+        got = text._compare(x.tobytes(), y.tobytes())
+        assert want and set(zip(got.a.tolist(), got.b.tolist())) == want
+
+
+def test_blocks_take_the_time_of_a_few_plain_passes():
+    import time
+
+    import numpy as np
+
+    x = block_of(6000, 2, (0, 6))
+    w, began = x["w"][:, 2].copy(), time.thread_time()
+    for g in range(0, len(w), 16):
+        np.bitwise_count(w[g : g + 16, None] ^ w[None])
+    plain, began = time.thread_time() - began, time.thread_time()
+    assert len(text._compare(x.tobytes(), x.tobytes()))
+    assert time.thread_time() - began < 12 * plain
+
+
 def test_leaders_of_a_long_chain(spark):
     # each item is similar to its neighbours only, and only the least open one can be decided
     n = 54
