@@ -287,6 +287,15 @@ def test_blocks_take_the_time_of_a_few_plain_passes():
     assert time.thread_time() - began < 12 * plain
 
 
+def test_prioritised_ranks_a_pool_that_is_written(spark, monkeypatch):
+    # a range sort evaluates its input twice
+    seen, real = [], text.running
+    monkeypatch.setattr(text, "running", lambda df, *a: (seen.append(hasattr(df, "_tidemark_path")), real(df, *a))[1])
+    pool = spark.createDataFrame([(1, 2.0, False, ["aa"]), (2, 1.0, False, ["aa"]), (3, 1.0, True, [])], "id long, base double, bad boolean, toks array<string>")
+    got = {r.id: (r.event_id, r.eligible) for r in text.prioritised(pool, 0.6, 0.4, 0.05).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (3, False)} and seen == [True]
+
+
 def test_leaders_of_a_long_chain(spark):
     # each item is similar to its neighbours only, and only the least open one can be decided
     n = 54
