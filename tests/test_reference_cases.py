@@ -273,6 +273,38 @@ def test_blocks_compared_as_pair_by_pair(slack):
         assert want and set(zip(got.a.tolist(), got.b.tolist())) == want
 
 
+def test_long_sets_that_share_a_rare_word_are_told_apart_by_their_bits(spark):
+    rnd = random.Random(5)
+    docs = [[f"c{k}" for k in rnd.sample(range(1500), 480)] + [f"r{i % 40}"] for i in range(240)]
+    docs += [[*docs[k][60:], *(f"d{k}x{j}" for j in range(40))] for k in range(20)]
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, toks array<string>")
+    want = alike(docs)
+    got = {(r.a, r.b) for r in text.candidates(d, 0.6, 20).collect()}
+    assert len(want) >= 20 and want <= got and len(got) < len(want) + 20
+    assert {(r.a, r.b) for r in text.similar_classes(d, 0.6, 20)[0].collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.9])
+def test_sets_meet_at_keys_as_pair_by_pair(threshold):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    x, share = block_of(500, 3, (0, 9)), (1 - threshold) / (1 + threshold)
+    size, w = rnd.integers(20, 300, len(x)), np.zeros((len(x), 7), np.uint64)
+    size[9::10], w[:, 1:] = size[: len(size[9::10])], x["w"]
+    t = [(k, i) for i in range(len(x)) for k in (7, 8 + i % 10 // 9, 1000 + i // 3)]
+    # a key of all, one of the copies, one of the others, and keys of three
+    keys, at = np.array([k for k, _ in t]), np.array([i for _, i in t])
+    mix = rnd.permutation(len(t))
+    keys, at = keys[mix], at[mix]
+    a, b = text._meet(keys, x["id"][at], size[at].astype(np.int32), w[at].T, threshold, share)
+    ok = (np.bitwise_count(w[:, None] ^ w[None]).astype(int).sum(axis=2) <= (size[:, None] + size[None]) * share + 1e-6) & (size[:, None] >= threshold * size[None] - 1e-9) & (size[None] >= threshold * size[:, None] - 1e-9)
+    want = [(int(x["id"][i]), int(x["id"][j])) for i, j in zip(*np.nonzero(ok)) if i < j]
+    assert want and sorted(zip(a.tolist(), b.tolist())) == want
+    none = text._meet(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty((7, 0), np.uint64), threshold, share)
+    assert [len(v) for v in none] == [0, 0]
+
+
 def test_blocks_take_the_time_of_a_few_plain_passes():
     import time
 
